@@ -84,3 +84,12 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spr
     left = left.join(hot, key, "left").withColumn("_salt", F.pmod(spread, F.coalesce("_parts", one)).cast("int")).drop("_parts")
     right = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", one) - 1))).drop("_parts")
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def map_arrow(df: DataFrame, function, schema: str, rows_per_batch: int = 1000) -> DataFrame:
+    """``mapInArrow`` with batches small enough for long texts; an explicit setting of the session stays."""
+    conf = df.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(rows_per_batch))
+    return df.mapInArrow(function, schema)

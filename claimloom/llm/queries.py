@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, urlfilter
+from . import chat, langid, linededup, mixing, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
+    "op7_language_id": langid.op7_language_id,
+    "op8_line_dedup": linededup.op8_line_dedup,
+    "op9_mixing": mixing.op9_mixing,
     "op10_url_filter": urlfilter.op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat.OP1_SQL,
+    "op8_line_dedup": linededup.OP8_SQL,
+    "op9_mixing": mixing.OP9_SQL,
     "op10_url_filter": urlfilter.OP10_SQL,
 }
