@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, linededup, mixing, urlfilter
+from . import chat, langid, linededup, mixing, neardup, packing, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
+    "op3_packing": packing.op3_packing,
+    "op4_near_dedup": neardup.op4_near_dedup,
     "op7_language_id": langid.op7_language_id,
     "op8_line_dedup": linededup.op8_line_dedup,
     "op9_mixing": mixing.op9_mixing,
@@ -18,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat.OP1_SQL,
+    "op4_near_dedup": neardup.OP4_SQL,
     "op8_line_dedup": linededup.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_url_filter": urlfilter.OP10_SQL,
