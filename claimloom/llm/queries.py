@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, linededup, mixing, neardup, packing, urlfilter
+from . import ann, chat, counts, langid, linededup, media, mixing, neardup, packing, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_token_counts": counts.op2_token_counts,
     "op3_packing": packing.op3_packing,
     "op4_near_dedup": neardup.op4_near_dedup,
+    "op5_media": media.op5_media,
+    "op6_nearest": ann.op6_nearest,
     "op7_language_id": langid.op7_language_id,
     "op8_line_dedup": linededup.op8_line_dedup,
     "op9_mixing": mixing.op9_mixing,
