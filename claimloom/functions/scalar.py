@@ -10,12 +10,13 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Named sizes of time bins in minutes (fixed values).
 BIN_MINUTES = {"1d": 1440, "1h": 60, "15m": 15, "1m": 1}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     """NFC, stripped and case-folded; null stays null."""
     return text.map(lambda t: unicodedata.normalize("NFC", t).strip().casefold(), na_action="ignore")
@@ -53,7 +54,8 @@ def ceil_bin(ts: Column, start: Column, step: timedelta) -> Column:
 def is_iso8601(text: Column) -> Column:
     """An ISO date, or a date and time with a time zone, that exists."""
     shape = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2}))?$")
-    return F.coalesce(shape & F.try_to_timestamp(text).isNotNull(), F.lit(False))
+    full = F.regexp_replace(text, r"([T ]\d{2}:\d{2})(Z|[+-]|$)", "$1:00$2")  # casts want seconds before a zone
+    return F.coalesce(shape & full.try_cast("timestamp").isNotNull(), F.lit(False))
 
 
 def template(text: str, fields: Sequence[str]) -> Column:

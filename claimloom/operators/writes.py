@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.encoding import ingest_key
 from ..plans.ir import RuleError
@@ -20,7 +21,7 @@ ITEMS = "pred_id string, e_ref string, args array<struct<tag:string,value:string
 META_KEYS = ("source", "source_loc", "trace_id", "valid_from", "valid_to", "version")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _keys(items: pd.DataFrame) -> pd.Series:
     out = []
     for r in items.to_dict("records"):

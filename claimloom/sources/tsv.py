@@ -18,10 +18,14 @@ def encode_cell(col: Column) -> Column:
 
 def decode_cell(col: Column) -> Column:
     """Left to right: an escaped backslash never begins another escape."""
-    parts = F.split(col, r"\\\\\\\\", -1)  # at doubled backslashes
-    for raw, shown in _PAIRS[1:]:
-        parts = F.transform(parts, lambda p, raw=raw, shown=shown: F.replace(p, F.lit(shown), F.lit(raw)))
-    return F.array_join(parts, "\\")
+    parts = F.split(col, r"\\\\", -1)  # at doubled backslashes
+
+    def plain(part: Column) -> Column:
+        for raw, shown in _PAIRS[1:]:
+            part = F.replace(part, F.lit(shown), F.lit(raw))
+        return part
+
+    return F.array_join(F.transform(parts, plain), "\\")
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
