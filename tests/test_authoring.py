@@ -40,7 +40,7 @@ def test_text(facts):
         good(u, m) :- buyer(u), user(u, n), m = n + 10, not blocked(u).
         good(u, 0) :- user(u, n), max(k) { user(v, k) } = n.
     """)
-    assert rows(evaluate(rules.run_program(facts, program), [("pred", "good", ["$u", "$m"])])) == [("a", 11), ("c", 0)]
+    assert rows(evaluate(rules.run_program(facts, program), [("pred", "good", ["$u", "$m"])], ["$u", "$m"])) == [("a", 11), ("c", 0)]
     for bad in ("user(u, n", "user(u, n), n ? 1", "user(u, n) n", ":- user(u)", "user(u, n), n"):
         with pytest.raises(RuleError):
             dsl.parse_body(bad)
