@@ -309,3 +309,40 @@ def latest_rank(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     """The first row of each key in a given order, ties included in the order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+
+
+class NamedViews:
+    """Named sets of assertions for this session; durable ones are ``Workspace.create_view``."""
+
+    def __init__(self, ledger: Ledger) -> None:
+        self._ledger = ledger
+        self._ids: dict[str, DataFrame] = {}
+
+    def create(self, name: str, ids: DataFrame) -> None:
+        """Name a set of ids (a column ``asrt_id``); a taken name or an unknown id is an error."""
+        if name in self._ids:
+            raise RuleError(f"there is a view {name}")
+        self._put(name, ids)
+
+    def update(self, name: str, ids: DataFrame) -> None:
+        self.get(name)
+        self._put(name, ids)
+
+    def _put(self, name: str, ids: DataFrame) -> None:
+        ids = ids.select("asrt_id").distinct()
+        if lost := ids.join(self._ledger.claims, "asrt_id", "left_anti").limit(1).collect():
+            raise RuleError(f"unknown assertion: {lost[0][0]}")
+        self._ids[name] = ids
+
+    def get(self, name: str) -> Ledger:
+        """Reads limited to the set."""
+        if name not in self._ids:
+            raise RuleError(f"no view {name}")
+        return self._ledger.restricted(self._ids[name])
+
+    def delete(self, name: str) -> None:
+        self.get(name)
+        del self._ids[name]
+
+    def names(self) -> list[str]:
+        return sorted(self._ids)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -189,3 +190,62 @@ def union_ledgers(parts: Sequence[Ledger]) -> Ledger:
 
 def meta_map(values: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+
+class Batch:
+    """Staged writes that are previewed, sent as JSON, and applied in one transaction."""
+
+    def __init__(self, schema: Schema) -> None:
+        self.schema = schema
+        self.items: list[dict] = []
+        self.retracted: list[str] = []
+
+    def set(self, predicate: str, e_ref: str, *values, **meta: str) -> Batch:
+        """Stage a claim; values follow the predicate's arguments after the entity."""
+        spec = self.schema[predicate]
+        if len(values) != len(spec.args) - 1:
+            raise RuleError(f"{predicate} takes {len(spec.args) - 1} values")
+        if unknown := set(meta) - set(META_KEYS):
+            raise RuleError(f"unknown metadata: {sorted(unknown)}")
+        shown = [{"tag": t, "value": str(v).lower() if t == "bool" else str(v)} for t, v in zip(spec.args[1:], values, strict=True)]
+        self.items.append({"pred_id": predicate, "e_ref": e_ref, "args": shown, **{k: meta.get(k) for k in META_KEYS}})
+        return self
+
+    add = set
+
+    def retract(self, asrt_id: str) -> Batch:
+        self.retracted.append(asrt_id)
+        return self
+
+    def to_json(self) -> str:
+        return json.dumps({"schema": self.schema.digest(), "items": self.items, "retracted": self.retracted}, sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str, schema: Schema) -> Batch:
+        said = json.loads(text)
+        if said["schema"] != schema.digest():
+            raise RuleError("the batch is of another schema")
+        out = cls(schema)
+        out.items, out.retracted = said["items"], said["retracted"]
+        return out
+
+    def frame(self, ledger: Ledger) -> DataFrame:
+        return ledger.claims.sparkSession.createDataFrame([tuple(i[c] for c in ("pred_id", "e_ref", "args", *META_KEYS)) for i in self.items], ITEMS)
+
+    def preview(self, ledger: Ledger) -> DataFrame:
+        """(pred_id, e_ref, status): what applying would do: write, skip (held already) or refuse."""
+        items = with_keys(self.frame(ledger))
+        live = active(ledger.claims, ledger.revocations).select("asrt_id")
+        held = effective_meta(ledger).where("key = 'ingest_key'").join(live, "asrt_id", "left_semi").select(F.col("value").alias("ingest_key")).distinct().withColumn("held", F.lit(True))
+        bad = with_keys(value_errors(self.frame(ledger), self.schema).drop("error")).select("ingest_key").distinct().withColumn("bad", F.lit(True))
+        out = items.join(held, "ingest_key", "left").join(bad, "ingest_key", "left")
+        return out.select("pred_id", "e_ref", F.when(F.col("bad"), "refuse").when(F.col("held"), "skip").otherwise("write").alias("status"))
+
+    def apply(self, ledger: Ledger, tx_seq: int, first_seq: int = 0, revoker: str = "batch") -> Ledger:
+        """All of it, or RuleError and nothing."""
+        if self.items and not value_errors(self.frame(ledger), self.schema).isEmpty():
+            raise RuleError("the batch has items that do not fit the schema")
+        if self.retracted:
+            ids = ledger.claims.sparkSession.createDataFrame([(i,) for i in self.retracted], "asrt_id string")
+            ledger = retract(ledger, ids, revoker, tx_seq)
+        return append_claims(ledger, self.frame(ledger), tx_seq, first_seq) if self.items else ledger

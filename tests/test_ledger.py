@@ -432,3 +432,31 @@ def test_streaming_latest(spark, tmp_path):
     q = latest.windowed_counts(latest.deduplicated(stream, "seq", "ts"), "ts", ["kind"], "5 seconds", "1 second").writeStream.format("memory").queryName("counts").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM counts").first()[0] in (None, 3, 4)
+
+
+def test_named_views(spark, ledger):
+    named = views.NamedViews(ledger)
+    one = spark.createDataFrame([("c4",), ("c4",)], "asrt_id string")
+    named.create("v", one)
+    assert named.names() == ["v"] and named.get("v").claims.count() == 1
+    named.update("v", spark.createDataFrame([("c4",), ("c5",)], "asrt_id string"))
+    assert named.get("v").claims.count() == 2
+    named.delete("v")
+    for bad in (lambda: named.get("v"), lambda: named.create("w", spark.createDataFrame([("zz",)], "asrt_id string"))):
+        with pytest.raises(RuleError):
+            bad()
+
+
+def test_staged_batches(spark):
+    batch = writes.Batch(SCHEMA).set("domain_user:name", A, "n", source="s").add("domain_user:tag", A, "x")
+    batch = writes.Batch.from_json(batch.to_json(), SCHEMA)
+    empty = Ledger.of(spark)
+    assert [r["status"] for r in batch.preview(empty).collect()] == ["write", "write"]
+    one = batch.apply(empty, 1)
+    assert one.claims.count() == 2
+    assert {r["status"] for r in batch.preview(one).collect()} == {"skip"}
+    gone = writes.Batch(SCHEMA).retract(one.claims.first()["asrt_id"]).apply(one, 2)
+    assert views.active(gone.claims, gone.revocations).count() == 1
+    for bad in (lambda: batch.set("domain_user:name", A), lambda: batch.set("domain_user:name", A, "n", what="x"), lambda: writes.Batch.from_json(batch.to_json(), Schema())):
+        with pytest.raises(RuleError):
+            bad()
