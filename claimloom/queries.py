@@ -54,7 +54,7 @@ def pred_const_filter(spark, sf):
     return evaluate(facts(spark, sf), [("pred", "nation", ["$n", "$name", 1])])
 
 
-@query("SELECT DISTINCT l_linenumber AS x, l_suppkey AS s FROM lineitem WHERE l_linenumber = l_suppkey")
+@query("SELECT DISTINCT l_linenumber AS x, l_linenumber AS s FROM lineitem WHERE l_linenumber = l_suppkey")
 def pred_self_equality(spark, sf):
     pairs = table(spark, sf, "lineitem").select("l_linenumber", "l_suppkey")
     return evaluate(facts(spark, sf).with_relations({"pair": pairs}), [("pred", "pair", ["$x", "$x"]), ("eq", "$s", "$x")])
@@ -410,7 +410,7 @@ def certainty_additive(spark, sf):
 
 
 @query("""WITH e AS (SELECT user_id, event_id::VARCHAR AS condition_key, CASE WHEN event_id % 4 <> 0 THEN round((event_id % 4) / 4.0 * CASE WHEN event_id % 5 <> 0 THEN (event_id % 10) / 10.0 ELSE 1.0 END, 6) END::DOUBLE AS impact FROM events)
-SELECT user_id, condition_key, row_number() OVER (PARTITION BY user_id ORDER BY impact NULLS LAST, condition_key) AS place, coalesce(impact = min(impact) OVER (PARTITION BY user_id), false) AS is_bottleneck FROM e""")
+SELECT user_id, condition_key, (row_number() OVER (PARTITION BY user_id ORDER BY impact NULLS LAST, condition_key))::INTEGER AS place, coalesce(impact = min(impact) OVER (PARTITION BY user_id), false) AS is_bottleneck FROM e""")
 def condition_ranking(spark, sf):
     return evidence.ranked_conditions(_conditions(spark, sf), ["user_id"]).select("user_id", "condition_key", "place", "is_bottleneck")
 
