@@ -3,11 +3,13 @@
 1. Every text becomes a set of shingles and a MinHash signature.  Equal sets form a
    class with one representative; only representatives are compared.
 2. Signatures are cut into bands; representatives that agree on a band share a bucket.
-3. First round: each representative is checked against the one earlier representative
-   with which it shares most buckets.  That joins nearly all of a large group by a number of
-   pairs that grows with the group, not with its square.
-4. Second round: in buckets that still hold several components, the pairs across components
-   are compared by signature in blocks; pairs within a component are never looked at.
+3. First round: a bucket's leader is the member that shares most buckets with others, which
+   in a group of edited copies is the text they were made from.  Each representative is checked
+   against the one leader that it shares most buckets with.  That joins most of a large group
+   by a number of pairs that grows with the group, not with its square.
+4. Second round: in buckets that still hold several components, pairs across components are
+   compared; pairs within a component are never looked at.  Small buckets give their few pairs,
+   large ones are compared in blocks that give only the pairs that are similar.
 5. A pair's signatures are compared batch by batch, and the pair is dropped once the
    posterior chance that it is similar enough falls below ``miss``.  What survives is
    verified exactly on the full sets.  Components are joined by repeated minimum.
@@ -27,10 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hot_keys, map_arrow, materialize, salted_join
-from .shingles import least_matches, overlap, set_key, shingle_set, signature, survivors
+from .shingles import least_matches, near, overlap, set_key, shingle_set, signature, survivors
 
-#: Members of a bucket are compared across components in blocks of so many.
-BLOCK = 64
+#: A bucket of at most so many members gives its pairs as rows; a larger one is compared in blocks.
+SMALL = 16
+BLOCK = 256
 #: So many ids (8 bytes each) may be sent to every task to pick texts; more are joined by a shuffle.
 MAX_SENT_IDS = 1_000_000
 
@@ -44,7 +47,7 @@ class NearDup:
     bands: int = 48
     rows: int = 6
     batch: int = 36
-    miss: float = 1e-7
+    miss: float = 1e-6
 
     @property
     def places(self) -> int:
@@ -72,14 +75,17 @@ def signatures(docs: DataFrame, p: NearDup) -> DataFrame:
 
 
 def buckets(reps: DataFrame, p: NearDup) -> DataFrame:
-    """(bucket, doc_id, first) of buckets with two representatives or more; first: their smallest."""
+    """(bucket, band, doc_id, n, first) of buckets with two representatives or more; first: their leader."""
     width = 2 * p.rows
     bands = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda b: F.xxhash64(F.substring(F.col("sig"), b * width + 1, F.lit(width)), b))
-    dealt = reps.select("doc_id", F.explode(bands).alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    shared = materialize(shared, "dup-buckets")
-    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return salted_join(dealt, shared.select("bucket", "first"), "bucket", hot_keys(shared, "bucket", "n", total), F.xxhash64("doc_id"))
+    dealt = reps.select("doc_id", F.posexplode(bands).alias("band", "bucket"))
+    sizes = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "dup-buckets")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = hot_keys(sizes, "bucket", "n", total)
+    members = materialize(salted_join(dealt, sizes, "bucket", hot, F.xxhash64("doc_id")), "dup-members")
+    central = members.groupBy("doc_id").agg(F.sum("n").alias("central"))
+    leaders = members.join(central, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct(F.col("central"), -F.col("doc_id"))).alias("first"))
+    return salted_join(members, leaders, "bucket", hot, F.xxhash64("doc_id"))
 
 
 def likely(pairs: DataFrame, sigs: DataFrame, p: NearDup) -> DataFrame:
@@ -143,47 +149,85 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(now, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
 
 
-def across(shared: DataFrame, found: DataFrame, sigs: DataFrame, p: NearDup) -> DataFrame:
+def across(shared: DataFrame, found: DataFrame, sigs: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
     """Likely pairs (a, b) of different components that share a bucket.
 
     In a bucket's largest component members only meet members of the others, so a bucket
     that is nearly one component costs its size, not its square.
     """
-    rules = least_matches(p.places, p.batch, p.percent / 100, p.miss)
-    placed = shared.select("bucket", "doc_id").join(found, "doc_id")
+    none = shared.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where(F.lit(False))
+    placed = shared.select("bucket", "band", "doc_id").join(found, "doc_id")
     per = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     most = per.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
     most = materialize(most, "dup-mixed")
     if most.isEmpty():
-        return shared.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where(F.lit(False))
-    total = most.agg(F.sum("n")).first()[0]
-    members = salted_join(placed, most, "bucket", hot_keys(most, "bucket", "n", total), F.xxhash64("doc_id"))
+        return none
+    few = placed.join(most.where(F.col("n") <= SMALL).select("bucket"), "bucket").select("bucket", "doc_id", "component")
+    few = materialize(few, "dup-few")
+    other = few.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
+    pairs = few.join(other, (few["bucket"] == other["bucket"]) & (few["doc_id"] < other["b"]) & (few["component"] != other["of_b"]))
+    small = likely(pairs.select(F.col("doc_id").alias("a"), "b").dropDuplicates(["a", "b"]), sigs, p)
+    large = most.where(F.col("n") > SMALL)
+    if large.isEmpty():
+        return small
+    return small.unionByName(_blocks(placed, large, sigs, docs, p))
+
+
+def _blocks(placed: DataFrame, large: DataFrame, sigs: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
+    """The similar pairs across components of large buckets, each from the first band that it shares.
+
+    A cell (i, j) compares block i of the smaller components with block j, for i <= j: by
+    signature, then by the sets' 32-bit hashes.  These can only seem more similar than the
+    sets are, so no link is lost, and few pairs are left for the exact check.
+    """
+    rules = least_matches(p.places, p.batch, p.percent / 100, p.miss)
+    total = large.agg(F.sum("n")).first()[0]
+    members = salted_join(placed, large, "bucket", hot_keys(large, "bucket", "n", total), F.xxhash64("doc_id"))
     blocks = F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int")  # of the smaller components
     mains = F.ceil(F.col("n_main") / BLOCK).cast("int")
     minor = F.col("component") != F.col("main")
     own = F.when(minor, F.pmod(F.xxhash64("doc_id"), blocks)).otherwise(blocks + F.pmod(F.xxhash64("doc_id"), mains)).cast("int")
-    members = members.withColumns({"_own": own, "_blocks": blocks, "_all": blocks + mains})
-    # a cell (i, j) compares block i of the smaller components with block j, for i <= j
+    members = materialize(members.select("bucket", "band", "doc_id", "component", minor.alias("minor"), own.alias("own"), blocks.alias("blocks"), (blocks + mains).alias("all_blocks")), "dup-large")
+    ids = materialize(members.select("doc_id").distinct(), "dup-large-ids")
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    wanted = texts.join(F.broadcast(ids) if ids.count() <= MAX_SENT_IDS else ids, "doc_id", "left_semi")
+
+    def shorten(batches):
+        for batch in batches:
+            sets = [np.unique((shingle_set(t, p.words) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
+
+    short = map_arrow(wanted, shorten, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+    known = materialize(short.join(sigs.select("doc_id", "sig"), "doc_id"), "dup-short")
     cells = F.when(
-        minor,
+        F.col("minor"),
         F.array_union(
-            F.transform(F.sequence(F.lit(0), F.col("_own")), lambda i: F.struct(i.alias("i"), F.col("_own").alias("j"))),
-            F.transform(F.sequence(F.col("_own"), F.col("_all") - 1), lambda j: F.struct(F.col("_own").alias("i"), j.alias("j"))),
+            F.transform(F.sequence(F.lit(0), F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))),
+            F.transform(F.sequence(F.col("own"), F.col("all_blocks") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"))),
         ),
-    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda i: F.struct(i.alias("i"), F.col("_own").alias("j"))))
-    rows = members.join(sigs.select("doc_id", "sig"), "doc_id").select("bucket", "doc_id", "component", "sig", F.col("_own").alias("own"), F.explode(cells).alias("cell"))
-    rows = rows.select("bucket", "cell.i", "cell.j", "own", "doc_id", "component", "sig")
+    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
+    rows = members.join(known, "doc_id").select("bucket", "band", "doc_id", "component", "sig", "hashes", "own", F.explode(cells).alias("cell"))
+    rows = rows.select("bucket", "cell.i", "cell.j", "band", "own", "doc_id", "component", "sig", "hashes")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        i, j, band = (pdf[c].iloc[0] for c in ("i", "j", "band"))
         x, y = np.flatnonzero(pdf["own"] == i), np.flatnonzero(pdf["own"] == j)
         sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(-1, p.places)
         ids, comp = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy()
+        sets = [np.frombuffer(h, "<u4") for h in pdf["hashes"]]
+        size = np.asarray([len(h) for h in sets])
         a, b = np.repeat(x, len(y)), np.tile(y, len(x))
         keep = (comp[a] != comp[b]) & ((ids[a] < ids[b]) | (i != j))
+        keep &= 101 * np.minimum(size[a], size[b]) >= p.percent * np.maximum(size[a], size[b])
         a, b = a[keep], b[keep]
         alive = survivors(sig[a], sig[b], rules)
-        a, b = ids[a[alive]], ids[b[alive]]
+        a, b = a[alive], b[alive]
+        if len(a):
+            same = (sig[a] == sig[b]).reshape(len(a), p.bands, p.rows).all(axis=2)
+            first = same.argmax(axis=1) == band
+            a, b = a[first], b[first]
+        good = np.asarray([near(sets[m], sets[n], p.percent) for m, n in zip(a, b, strict=True)], bool)
+        a, b = ids[a[good]], ids[b[good]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
@@ -208,14 +252,14 @@ def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame
     reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig")
     reps = materialize(reps, "dup-reps")
     shared = materialize(buckets(reps, p), "dup-shared")
-    # first round: one earlier partner each
+    # first round: one leader each
     votes = shared.where("doc_id <> first").groupBy("doc_id", "first").agg(F.count("*").alias("votes"))
-    stars = votes.groupBy("doc_id").agg(F.max_by("first", F.struct("votes", -F.col("first"))).alias("a")).select("a", F.col("doc_id").alias("b"))
+    stars = votes.groupBy("doc_id").agg(F.max_by("first", F.struct(F.col("votes"), -F.col("first"))).alias("a")).select("a", F.col("doc_id").alias("b"))
     links = materialize(verified(likely(stars, reps, p), docs, p), "dup-verified")
     members = materialize(shared.select("doc_id").distinct(), "dup-members")
     found = materialize(components(members, links), "dup-found")
     # second round: all other pairs across components
-    more = materialize(verified(across(shared, found, reps, p), docs, p), "dup-verified")
+    more = materialize(verified(across(shared, found, reps, docs, p), docs, p), "dup-verified")
     if not more.isEmpty():
         found = components(members, links.union(more))
     placed = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("key", "n", F.coalesce("component", "rep").alias("component_id"))

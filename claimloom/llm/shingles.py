@@ -117,3 +117,13 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     return int((b[at] == a).sum()) if len(b) else 0
+
+
+def near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of 32-bit hashes may be that similar.
+
+    Members that collide make a set one smaller and the common part one larger; each is
+    allowed for, as many as can collide among so few being far below the two spared here.
+    """
+    common = overlap(a, b) + 2
+    return 100 * common >= percent * (len(a) + len(b) + 2 - common)
