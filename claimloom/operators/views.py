@@ -116,12 +116,14 @@ def entity_domain(ledger: Ledger, schema: Schema, entity: str) -> DataFrame:
 
 def project(ledger: Ledger, schema: Schema, names: Sequence[str] | None = None, every: bool = False) -> FactSpace:
     """The view that rules see: each predicate's active and chosen rows, lazily."""
-    relations = {}
+    relations, keys = {}, {}
     for spec in schema.predicates():
         if names is None or spec.name in names:
             rows = entity_domain(ledger, schema, spec.owner) if spec.role == "exists" else predicate_rows(ledger, spec, every).drop("_seq")
             relations[spec.name] = rows
-    return FactSpace(ledger.claims.sparkSession, relations)
+            if spec.role == "exists" or spec.cardinality == "single" and not every:
+                keys[spec.name] = tuple(f"a{g}" for g in spec.group)
+    return FactSpace(ledger.claims.sparkSession, relations, keys)
 
 
 def projection_audit(ledger: Ledger) -> DataFrame:

@@ -61,11 +61,16 @@ class FactSpace:
     A relation is a DataFrame whose columns are the predicate's arguments in order; a
     column ``_asrt`` with the assertion's id may follow and is kept for witnesses.  Rows with a
     null argument are no facts and never match a variable or literal.
+
+    ``keys`` names arguments that are unique together, for relations that have such.  A body
+    whose selected variables include the keys of all that it joins is a set already, and its
+    result is not shuffled again to make it one.
     """
 
-    def __init__(self, spark: SparkSession, relations: Mapping[str, DataFrame] | None = None) -> None:
+    def __init__(self, spark: SparkSession, relations: Mapping[str, DataFrame] | None = None, keys: Mapping[str, tuple[str, ...]] | None = None) -> None:
         self.spark = spark
         self._relations = dict(relations or {})
+        self._keys = {n: tuple(k) for n, k in (keys or {}).items()}
 
     def __contains__(self, name: str) -> bool:
         return name in self._relations
@@ -81,38 +86,49 @@ class FactSpace:
     def args(self, name: str) -> list[str]:
         return [c for c in self[name].columns if c != "_asrt"]
 
-    def with_relations(self, relations: Mapping[str, DataFrame]) -> FactSpace:
+    def key(self, name: str) -> tuple[str, ...] | None:
+        """Arguments of a relation that are unique together, if they are known."""
+        return self._keys.get(name)
+
+    def with_relations(self, relations: Mapping[str, DataFrame], keys: Mapping[str, tuple[str, ...]] | None = None) -> FactSpace:
         """A space in which these relations are added, or stand in for those of the same name."""
-        return FactSpace(self.spark, self._relations | dict(relations))
+        kept = {n: k for n, k in self._keys.items() if n not in relations}
+        return FactSpace(self.spark, self._relations | dict(relations), kept | dict(keys or {}))
 
     def only(self, names: list[str]) -> FactSpace:
         """The named relations alone; an unknown name is an error."""
-        return FactSpace(self.spark, {n: self[n] for n in names})
+        return FactSpace(self.spark, {n: self[n] for n in names}, {n: k for n, k in self._keys.items() if n in names})
 
     @classmethod
     def from_tables(cls, spark: SparkSession, tables: Mapping[str, DataFrame], key: Mapping[str, str] | None = None) -> FactSpace:
         """Ordinary tables as predicates: a table of n columns is an n-ary predicate of its name.
 
-        For tables named in ``key``, each other column is also a binary predicate
-        ``table:column(key, value)``.
+        For tables named in ``key``, which is a unique column, each other column is also a
+        binary predicate ``table:column(key, value)``.
         """
-        found = dict(tables)
+        found, keys = dict(tables), {}
         for name, k in (key or {}).items():
+            keys[name] = (k,)
             for c in tables[name].columns:
                 if c != k:
                     found[f"{name}:{c}"] = tables[name].select(k, c)
-        return cls(spark, found)
+                    keys[f"{name}:{c}"] = (k,)
+        return cls(spark, found, keys)
 
 
 @dataclass
 class Env:
-    """Solutions so far.  ``df`` is None before the first atom: one solution without variables."""
+    """Solutions so far.  ``df`` is None before the first atom: one solution without variables.
+
+    ``key``: variables that tell solutions apart, or None if some may be equal.
+    """
 
     df: DataFrame | None
     vars: dict[str, T.DataType]
+    key: frozenset[str] | None = frozenset()
 
     def with_df(self, df: DataFrame, more: Mapping[str, T.DataType] | None = None) -> Env:
-        return Env(df, self.vars | dict(more or {}))
+        return Env(df, self.vars | dict(more or {}), self.key)
 
 
 @dataclass
@@ -140,11 +156,12 @@ class Compiler:
     def step(self, atom: Atom, env: Env, case: int, place: int) -> Env:
         match atom:
             case Pred(name, terms):
-                return self.join(env, self.facts[name], terms, name, case, place)
+                return self.join(env, self.facts[name], terms, name, case, place, self.facts.key(name))
             case Ref(rule, version, terms):
                 if not self.resolve:
                     raise RuleError(f"no rules are at hand for {rule}@{version}")
-                return self.join(env, self.resolve(rule, version), terms, f"{rule}@{version}", case, place)
+                derived = self.resolve(rule, version)  # a set, so all its columns are a key
+                return self.join(env, derived, terms, f"{rule}@{version}", case, place, tuple(derived.columns))
             case Cmp():
                 return self.compare(atom, env)
             case In(var, values):
@@ -158,7 +175,7 @@ class Compiler:
 
     # predicates
 
-    def join(self, env: Env, relation: DataFrame, terms: tuple[Any, ...], name: str, case: int, place: int) -> Env:
+    def join(self, env: Env, relation: DataFrame, terms: tuple[Any, ...], name: str, case: int, place: int, unique: tuple[str, ...] | None = None) -> Env:
         args = [c for c in relation.columns if c != "_asrt"]
         if len(args) != len(terms):
             raise RuleError(f"{name} has {len(args)} arguments, not {len(terms)}")
@@ -183,9 +200,12 @@ class Compiler:
         found = found.select(*cols)
         shared = [v for v in first if v in env.vars]
         new = {v: kinds[arg] for v, arg in first.items() if v not in env.vars}
+        # one match at most where the relation's key is given; else its variables join the key
+        open_ = {t for arg, t in zip(args, terms, strict=True) if unique and arg in unique and is_var(t) and t not in env.vars}
+        env = Env(env.df, env.vars, None if env.key is None or unique is None else env.key | open_)
         if env.df is None:
             df = found.withColumnRenamed(f"{tag}{WITNESS}", WITNESS) if self.witness else found
-            return Env(df, new)
+            return env.with_df(df, new)
         if any(family(env.vars[v]) != family(kinds[first[v]]) for v in shared):
             df = env.df.join(found, F.lit(False))
         elif shared:
@@ -282,7 +302,7 @@ class Compiler:
     def _keys(self, env: Env, outer: list[str]) -> Env:
         if not outer:
             return Env(None, {})
-        return Env(self.frame(env).select(*[_c(column_of(v)) for v in outer]).distinct(), {v: env.vars[v] for v in outer})
+        return Env(self.frame(env).select(*[_c(column_of(v)) for v in outer]).distinct(), {v: env.vars[v] for v in outer}, frozenset(outer))
 
     def aggregate(self, agg: Agg, env: Env) -> tuple[Env, Column, T.DataType, None]:
         mentioned = atoms_vars(agg.where) | ({agg.target} if is_var(agg.target) else set())
@@ -376,6 +396,7 @@ def evaluate(
     """
     body: Body = parse(where)
     parts = []
+    is_set = len(body.branches) == 1
     for case, atoms in enumerate(body.branches):
         compiler = Compiler(facts, resolve, witness)
         env = compiler.run(atoms, case=case)
@@ -383,9 +404,10 @@ def evaluate(
         missing = [v for v in names if v not in env.vars]
         if missing:
             raise RuleError(f"branch {case} does not bind {missing}")
+        is_set &= env.key is not None and env.key <= set(names)
         cols = [_c(column_of(v)) for v in names]
         if witness:
             cols += [F.lit(case).alias("_case"), F.col(WITNESS)]
         parts.append(compiler.frame(env).select(*cols))
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return out.distinct() if distinct and not witness else out
+    return out.distinct() if distinct and not witness and not is_set else out

@@ -89,7 +89,7 @@ def why_not(facts: FactSpace, where: Any, universe: DataFrame, resolve: Resolve
     for case, atoms in enumerate(body.branches):
         kinds = {f"${c}": universe.schema[c].dataType for c in keys}
         compiler = Compiler(facts, resolve)
-        env = Env(universe, kinds)
+        env = Env(universe, kinds, None)
         alive = []
         for place, atom in enumerate(atoms):
             env = compiler.run((atom,), env)

@@ -298,3 +298,22 @@ def test_rule_variants_and_expectations(shop):
 def test_dataflow_check_returns_what_is_bound():
     body = parse([("pred", "p", ["$a"]), ("addc", "$b", "$a", 1)])
     assert check(body.branches[0]) == {"$a", "$b"}
+
+
+def test_no_shuffle_makes_a_set_of_a_set(spark):
+    rows_ = spark.createDataFrame([(1, 10, "x"), (2, 10, "x")], "k long, g long, v string")
+    twice = spark.createDataFrame([(10, "a"), (10, "b")], "g long, t string")
+    keyed = FactSpace.from_tables(spark, {"t": rows_, "many": twice}, {"t": "k"})
+
+    def shuffles(body, select=None):
+        df = evaluate(keyed, body, select)
+        assert df.count() == df.distinct().count()
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+
+    assert shuffles([("pred", "t:g", ["$k", "$g"]), ("pred", "t:v", ["$k", "$v"])]) == 0
+    assert shuffles([("pred", "t:g", ["$k", "$g"])], ["$g"]) == 1  # the key is gone
+    assert shuffles([("pred", "t:g", ["$k", "$g"]), ("pred", "many", ["$g", "$x"])]) == 1  # unknown key
+    assert shuffles([("pred", "t:v", [1, "$v"])]) == 0
+    assert shuffles([("pred", "t:g", ["$k", "$g"]), ("pred", "t:g", ["$j", "$g"])], ["$k", "$j"]) == 0
+    assert shuffles([("pred", "t:g", ["$k", "$g"]), ("pred", "t:g", ["$j", "$g"])], ["$k"]) == 1
+    assert shuffles([("pred", "t:g", ["$k", "$g"]), ("not", [("pred", "many", ["$g", "zz"])])]) == 0
