@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import timedelta
 from decimal import Decimal
 from functools import reduce
 from itertools import combinations
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ceil_bin, floor_bin
-from ..plans.ir import RuleError
+from ..plans.compile import FactSpace, column_of, evaluate
+from ..plans.ir import Agg, Cmp, Not, RuleError, parse
 from ..sources.shared import materialize
 
 #: Exact counting is exponential in the variables of one answer that share proofs.
@@ -127,6 +129,33 @@ def answer_probability(proofs: DataFrame, keys: Sequence[str], exclusive: bool =
     return simple.unionByName(hard.groupBy(*keys).applyInPandas(solve, schema))
 
 
+def rule_probability(facts: FactSpace, where: Any, select: list[str], resolve: Callable[[str, str], DataFrame] | None = None) -> DataFrame:
+    """Probability of each answer of a body over facts with ``_asrt`` and ``_p``; facts without are certain.
+
+    Each solution is a proof, the set of assertions that it used.  Negation and aggregates
+    over uncertain facts are refused: a witness does not show what they depend on.
+    """
+    body = parse(where)
+    for atom in (a for b in body.branches for a in b):
+        terms = (atom.left, atom.right) if isinstance(atom, Cmp) else getattr(atom, "args", ())
+        if isinstance(atom, Not) or any(isinstance(t, Agg) for t in terms):
+            raise RuleError("negation and aggregates have no probability here")
+    rows = evaluate(facts, body, select, resolve=resolve, witness=True)
+    keys = [column_of(v) for v in select]
+    proof = F.array_sort(F.array_distinct(F.filter(F.transform("_w", lambda w: w["assertion"]), lambda a: a.isNotNull())))
+    rows = rows.select(*keys, proof.alias("facts")).distinct()
+    known = [facts[n].select(F.col("_asrt").cast("string").alias("fact"), F.col("_p").cast("double").alias("p")) for n in facts.names() if {"_asrt", "_p"} <= set(facts[n].columns)]
+    certain = rows.select(*keys).distinct().withColumn("p", F.lit(1.0))
+    if not known:
+        return certain
+    p = reduce(DataFrame.unionByName, known).where("p < 1").dropDuplicates(["fact"])
+    used = rows.select(*keys, F.to_json("facts").alias("proof"), F.explode("facts").alias("fact")).join(p, "fact")
+    # a proof that uses no uncertain fact makes its answer certain
+    sure = rows.select(*keys, F.to_json("facts").alias("proof")).join(used.select(*keys, "proof").distinct(), [*keys, "proof"], "left_anti").select(*keys).distinct()
+    open_ = answer_probability(used.join(sure, keys, "left_anti"), keys)
+    return open_.unionByName(sure.withColumn("p", F.lit(1.0)))
+
+
 def weighted_choice(arms: DataFrame, keys: Sequence[str], weights: Sequence[str]) -> DataFrame:
     """Probability of each answer of a choice between arms (keys, ``arm``): the weights of its distinct arms.
 

@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from .ir import DECIMAL, ORDERINGS, Agg, Arith, Atom, Body, Cmp, In, Not, Pred, Ref, RuleError, atoms_vars, check, integer, is_var, parse
 
 WITNESS = "_w"
+#: Columns of a relation that are no arguments: the assertion's id and its probability.
+HIDDEN = ("_asrt", "_p")
 WITNESS_TYPE = "array<struct<case:int,condition:int,predicate:string,assertion:string>>"
 
 
@@ -84,7 +86,7 @@ class FactSpace:
         return sorted(self._relations)
 
     def args(self, name: str) -> list[str]:
-        return [c for c in self[name].columns if c != "_asrt"]
+        return [c for c in self[name].columns if c not in HIDDEN]
 
     def key(self, name: str) -> tuple[str, ...] | None:
         """Arguments of a relation that are unique together, if they are known."""
@@ -176,7 +178,7 @@ class Compiler:
     # predicates
 
     def join(self, env: Env, relation: DataFrame, terms: tuple[Any, ...], name: str, case: int, place: int, unique: tuple[str, ...] | None = None) -> Env:
-        args = [c for c in relation.columns if c != "_asrt"]
+        args = [c for c in relation.columns if c not in HIDDEN]
         if len(args) != len(terms):
             raise RuleError(f"{name} has {len(args)} arguments, not {len(terms)}")
         kinds = dict(zip(args, (relation.schema[c].dataType for c in args), strict=True))

@@ -120,8 +120,10 @@ def _check(ops: Sequence[Op]) -> None:
         said[k] = o
 
 
-def apply_scenario(facts: FactSpace, ops: Sequence[Op]) -> FactSpace:
-    """The facts as they would be."""
+def apply_scenario(facts: FactSpace, ops: Sequence[Op], p: float = 1.0) -> FactSpace:
+    """The facts as they would be.  Added facts are as probable as ``p`` where relations have probabilities."""
+    if not 0 < p <= 1:
+        raise RuleError("a probability is above 0 and at most 1")
     _check(ops)
     hide: dict[str, list[Column]] = {}
     add: dict[str, list[tuple]] = {}
@@ -174,7 +176,10 @@ def apply_scenario(facts: FactSpace, ops: Sequence[Op]) -> FactSpace:
             kinds = [rel.schema[c] for c in facts.args(name)]
             rows = facts.spark.createDataFrame(list(dict.fromkeys(add[name])), ", ".join(f"`{k.name}` {k.dataType.simpleString()}" for k in kinds))
             if "_asrt" in rel.columns:
-                rows = rows.withColumn("_asrt", F.lit("scenario"))
+                said = F.to_json(F.struct(*[F.col(f"`{k.name}`") for k in kinds]))
+                rows = rows.withColumn("_asrt", F.concat(F.lit(f"scenario:{name}:"), said))
+            if "_p" in rel.columns:
+                rows = rows.withColumn("_p", F.lit(p))
             rel = rel.unionByName(rows)
         patched[name] = rel
     return facts.with_relations(patched)

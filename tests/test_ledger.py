@@ -362,6 +362,25 @@ def test_answer_probability(spark):
         uncertain.weighted_choice(df, ["k"], ["0.3", "0.3", "0.3"])
 
 
+def test_probability_of_a_rule(spark):
+    from claimloom import FactSpace
+    from claimloom.plans import scenario
+
+    edge = spark.createDataFrame([("a", "b", "e1", 0.5), ("b", "d", "e2", 0.5), ("a", "c", "e3", 0.5), ("c", "d", "e4", 1.0), ("a", "e", "e5", 1.0), ("e", "f", "e6", 1.0)], "x string, y string, _asrt string, _p double")
+    facts = FactSpace(spark, {"edge": edge, "ok": spark.createDataFrame([("d",), ("f",)], "x string")})
+    body = [("pred", "edge", ["$x", "$y"]), ("pred", "edge", ["$y", "$z"]), ("pred", "ok", ["$z"])]
+    got = {(r["x"], r["z"]): r["p"] for r in uncertain.rule_probability(facts, body, ["$x", "$z"]).collect()}
+    assert got == pytest.approx({("a", "d"): 1 - 0.75 * 0.5, ("a", "f"): 1.0})
+    either = [[("pred", "edge", ["$x", "b"])], [("pred", "edge", ["$x", "$y"]), ("eq", "$y", "c")]]
+    assert uncertain.rule_probability(facts, either, ["$x"]).first()["p"] == pytest.approx(0.75)
+    more = scenario.apply_scenario(facts, [scenario.EnsureRelation("edge", "q", "d")], p=0.25)
+    assert uncertain.rule_probability(more, [("pred", "edge", ["$x", "d"]), ("eq", "$x", "q")], ["$x"]).first()["p"] == 0.25
+    with pytest.raises(RuleError, match="no probability"):
+        uncertain.rule_probability(facts, [("pred", "ok", ["$x"]), ("not", [("pred", "edge", ["$x", "$y"])])], ["$x"])
+    with pytest.raises(RuleError, match="at most 1"):
+        scenario.apply_scenario(facts, [], p=2)
+
+
 def test_fact_probability(spark):
     facts = spark.createDataFrame([(x,) for x in "abcde"], "asrt_id string")
     notes = spark.createDataFrame([("a", "problog", "probability", "num", "0.2", 1), ("a", "shared", "probability", "num", "0.9", 2), ("b", "shared", "probability", "num", "0.4", 1), ("b", "shared", "probability", "num", "0.6", 2), ("c", "shared", "bound", "json", "[0.2,0.4]", 1), ("e", "problog", "probability", "bool", "true", 1)], "asrt_id string, namespace string, key string, kind string, value string, seq int").withColumn("category", F.lit("semantic"))
