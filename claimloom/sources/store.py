@@ -74,7 +74,8 @@ class Workspace:
             folders[name] = uuid.uuid4().hex
             out = df.select(*[F.col(f.name).cast(f.dataType) for f in kind])
             if name == "claims":
-                out = out.repartition("pred_id").sortWithinPartitions("pred_id", "e_ref")  # row groups of few predicates
+                # row groups of few predicates; ranges split a predicate that has very many claims
+                out = out.repartitionByRange("pred_id", "e_ref").sortWithinPartitions("pred_id", "e_ref")
             out.write.parquet(f"{self.path}/{name}/{folders[name]}")
         new = {"tx": expected + 1, "schema": schema_digest or head["schema"], "folders": folders}
         new["parent"] = hashlib.sha256(json.dumps(head, sort_keys=True).encode()).hexdigest()
