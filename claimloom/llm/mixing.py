@@ -92,14 +92,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence
     n = sums.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, n // BUCKET_ROWS)
     out = out.withColumn("_order", order).withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int"))
-    per = out.groupBy("source", "_bucket").agg(F.sum("size").alias("_size"))
-    base = F.coalesce(F.sum("_size").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.select(F.col("source").alias("_source"), F.col("_bucket").alias("_b"), base.alias("_base"))
-    goals = targets(sums.drop("_n"), weights, share, cap)
-    bases = per.join(goals, per["_source"].eqNullSafe(goals["source"])).drop("source")
-    within = Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # a key without nulls lets the window and the join share one shuffle of the documents
+    key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("s"), F.col("source")))
+    out = out.withColumn("_key", key)
+    per = out.groupBy("_key", "_bucket").agg(F.sum("size").alias("_size"))
+    base = F.coalesce(F.sum("_size").over(Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    goals = targets(sums.drop("_n"), weights, share, cap).withColumn("_key", key).drop("source")
+    bases = per.select("_key", "_bucket", base.alias("_base")).join(goals, "_key")
+    within = Window.partitionBy("_key", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    out = out.join(bases, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b"))).withColumn("_start", F.col("_base") + F.col("_within"))
+    out = out.join(bases, ["_key", "_bucket"]).withColumn("_start", F.col("_base") + F.col("_within"))
     goal = F.floor("target")
     passes = F.sequence(F.lit(0), F.lit(-int(-cap // 1) - 1))
 
