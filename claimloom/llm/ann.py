@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from .common import hot_keys, map_arrow, materialize, salted_join
 from .hnsw import Graph
 
-#: A shard has about so many classes at most; small inputs have the least number of shards.
-SHARD_ROWS = 32_768
+#: A shard has about so many classes at most, so that the beam (``hnsw.BEAM``) finds the
+#: nearest of a full one; small inputs have the least number of shards.
+SHARD_ROWS = 4096
 LEAST_SHARDS = 16
 #: Queries that meet a shard's graph at a time.
 QUERY_ROWS = 4096

@@ -214,6 +214,14 @@ def test_graph_recall_and_storage():
         assert len(ids) == 2 * n
 
 
+def test_recall_of_a_full_shard():
+    rng = np.random.default_rng(6)
+    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(n, 64)).astype("f4") for n in (ann.SHARD_ROWS, 200)))
+    who, ids, _ = hnsw.Graph.build(np.arange(len(x)), x).search(q, 20)
+    true = np.argsort(-(q.astype("f8") @ x.T.astype("f8")), axis=1)[:, :20]
+    assert np.mean([len(set(true[k]) & set(ids[who == k])) / 20 for k in range(len(q))]) >= 0.9
+
+
 def test_language_id(spark, sf):
     out = QUERIES["op7_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in out if r["held_out"]]
