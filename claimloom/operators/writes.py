@@ -155,26 +155,34 @@ def accept(candidates: DataFrame, existing: DataFrame, key: str = "candidate_key
     return (fresh.limit(0) if dry_run else fresh), report
 
 
-def accept_in_order(candidates: DataFrame, key: str = "candidate_key", needs: str = "needs", failed: DataFrame | None = None, max_rounds: int = 64) -> DataFrame:
+def accept_in_order(candidates: DataFrame, key: str = "candidate_key", needs: str = "needs", failed: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """(key, level, status): candidates by level of dependency.
 
     A candidate is ``accepted`` at the level after its last need; one that needs a ``failed`` or
     unknown candidate, or itself through others, is ``blocked_dependency``.  Levels are
-    found a round at a time over tables.
+    found a round at a time over tables, until none becomes ready; where ``max_rounds`` ends
+    it before that, RuleError is raised.
     """
-    bad = failed.select(key) if failed is not None else candidates.select(key).limit(0)
-    edges = candidates.select(key, F.explode(needs).alias("need"))
+    keys = candidates.select(key).where(F.col(key).isNotNull()).distinct()
+    if failed is not None:
+        keys = keys.join(failed.select(key), key, "left_anti")
+    edges = candidates.select(key, F.explode(needs).alias("need")).join(keys, key, "left_semi")
     edges = materialize(edges, "needs")
-    todo = materialize(candidates.select(key).distinct().join(bad, key, "left_anti"), "todo")
+    ready = keys.join(edges.select(key), key, "left_anti")
     done = None
-    for level in range(max_rounds):
-        open_ = edges if done is None else edges.join(done.select(F.col(key).alias("need")), "need", "left_anti")
-        ready = todo.join(open_.select(key), key, "left_anti")
+    level = 0
+    while True:
         ready = materialize(ready.withColumn("level", F.lit(level)), "level")
         if ready.isEmpty():
             break
+        if level == max_rounds:
+            raise RuleError(f"candidates still become ready after {max_rounds} rounds")
         done = ready if done is None else done.unionByName(ready)
-        todo = materialize(todo.join(ready, key, "left_anti"), "todo")
+        # needs that are met go; who loses the last one is ready
+        left = materialize(edges.join(ready.select(F.col(key).alias("need")), "need", "left_anti"), "needs")
+        ready = edges.select(key).distinct().join(left.select(key), key, "left_anti")
+        edges = left
+        level += 1
     rest = candidates.select(key).distinct()
     if done is None:
         return rest.withColumns({"level": F.lit(None).cast("int"), "status": F.lit("blocked_dependency")})

@@ -184,6 +184,13 @@ def test_accepting(spark):
     assert got == {"a": (0, "accepted"), "b": (1, "accepted"), "c": (2, "accepted"), "d": no, "e": no, "f": no, "g": no}
 
 
+def test_accepting_a_long_chain(spark):
+    deps = spark.createDataFrame([(f"k{n}", [f"k{n - 1}"] if n else []) for n in range(70)], "candidate_key string, needs array<string>")
+    assert rows(writes.accept_in_order(deps)) == sorted((f"k{n}", n, "accepted") for n in range(70))
+    with pytest.raises(RuleError, match="still become ready"):
+        writes.accept_in_order(deps, max_rounds=2)
+
+
 def test_workspace(spark, tmp_path):
     ws = store.Workspace.create(spark, str(tmp_path / "ws"), "digest")
     with pytest.raises(RuleError):
