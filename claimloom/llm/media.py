@@ -60,20 +60,58 @@ def average_hash(samples: np.ndarray) -> str:
     return f"{width}x{height}:{int(''.join('1' if b else '0' for b in bits), 2):016x}:{int(samples.sum())}"
 
 
+class _Figure:
+    """An open figure: its media, its captions as text items, and the caption that is open."""
+
+    def __init__(self) -> None:
+        self.media: list[dict] = []
+        self.captions: list[dict] = []
+        self.caption: list[str] | None = None
+
+
 class _Items(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
         self.silent = 0
-        self.figure: list[int] | None = None
-        self.caption: list[str] | None = None
+        self.figures: list[_Figure] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            self.items.append({"place": len(self.items), "kind": "text", "text": text, "ref": None, "digest": None, "caption": None})
+            self.add_text(text)
+
+    def add_text(self, text: str) -> dict:
+        self.items.append({"kind": "text", "text": text, "ref": None, "digest": None, "caption": None})
+        return self.items[-1]
+
+    def end_caption(self) -> None:
+        figure = self.figures[-1]
+        if figure.caption is not None:
+            figure.captions[-1]["text"] = " ".join("".join(figure.caption).split())
+            figure.caption = None
+
+    def end_figure(self) -> None:
+        """A figure's captions are its media's; without media they stay texts, where they were."""
+        self.end_caption()
+        figure = self.figures.pop()
+        if figure.media:
+            said = " ".join(c["text"] for c in figure.captions if c["text"])
+            for item in figure.media:
+                item["caption"] = said or item["caption"]
+            for caption in figure.captions:
+                caption["text"] = ""
+
+    def finish(self) -> list[dict]:
+        """All items in order, also of what the page left open."""
+        self.close()
+        self.flush()
+        while self.figures:
+            self.end_figure()
+        kept = [i for i in self.items if i["kind"] == "media" or i["text"]]
+        return [{"place": k, **item} for k, item in enumerate(kept)]
 
     def handle_starttag(self, tag, attrs) -> None:
         named = dict(attrs)
@@ -82,41 +120,40 @@ class _Items(HTMLParser):
         if tag in BREAKS:
             self.flush()
         if tag == "figure":
-            self.figure = []
-        elif tag == "figcaption":
-            self.caption = []
+            self.figures.append(_Figure())
+        elif tag == "figcaption" and self.figures:  # one outside a figure is text
+            self.end_caption()
+            self.figures[-1].caption = []
+            self.figures[-1].captions.append(self.add_text(""))
         if tag in SOURCES and named.get("src"):
             self.flush()
             ref = named["src"].strip()
             digest = ref.removeprefix(SCHEME).lower() if ref.startswith(SCHEME) else hashlib.sha256(ref.encode()).hexdigest()
-            if self.figure is not None:
-                self.figure.append(len(self.items))
-            self.items.append({"place": len(self.items), "kind": "media", "text": None, "ref": ref, "digest": digest, "caption": named.get("alt") or None})
+            self.items.append({"kind": "media", "text": None, "ref": ref, "digest": digest, "caption": named.get("alt") or None})
+            if self.figures:
+                self.figures[-1].media.append(self.items[-1])
 
     def handle_endtag(self, tag) -> None:
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
-        if tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join("".join(self.caption).split()), None
-            for k in self.figure or ():  # a figure's caption is its media's
-                self.items[k]["caption"] = said or self.items[k]["caption"]
-        elif tag in BREAKS:
+        if tag in BREAKS:
             self.flush()
-        if tag == "figure":
-            self.figure = None
+        if tag == "figcaption" and self.figures:
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_figure()
 
     def handle_data(self, data) -> None:
         if not self.silent:
-            (self.text if self.caption is None else self.caption).append(data)
+            caption = self.figures[-1].caption if self.figures else None
+            (self.text if caption is None else caption).append(data)
 
 
 def parse_items(html: str | None) -> list[dict]:
     """A page's texts and media references in order; a null or empty page has none."""
     parser = _Items()
     parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return parser.items
+    return parser.finish()
 
 
 def interleave(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -167,6 +167,26 @@ def test_interleaving_keeps_order_and_captions(spark):
     assert hit == [(1, "payload")] * 2
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<figure><figcaption>c <b>d</b></figcaption><img src=x alt=old></figure>t", [("x", "c d"), ("t", None)]),
+        ("<figure><img src=x alt=old><figcaption>c</figcaption></figure>t", [("x", "c"), ("t", None)]),
+        ("<figure><figcaption>c</figcaption><p>p</p></figure>t", [("c", None), ("p", None), ("t", None)]),
+        ("<figure><img src=x><figcaption>c</figure><p>t</p>", [("x", "c"), ("t", None)]),
+        ("<figure><img src=x><figcaption>c &amp; d", [("x", "c & d")]),
+        ("<figure><figcaption>c", [("c", None)]),
+        ("a<figcaption>c<p>t</p>", [("a", None), ("c", None), ("t", None)]),
+        ("<figure><figcaption>o</figcaption><figure><img src=x><figcaption>i</figcaption></figure></figure>", [("o", None), ("x", "i")]),
+        ("<figure><img src=x><figcaption>c</figcaption><figcaption>d</figcaption><img src=y></figure>", [("x", "c d"), ("y", "c d")]),
+    ],
+)
+def test_no_caption_is_lost(html, want):
+    items = media.parse_items(html)
+    assert [(i["text"] or i["ref"], i["caption"]) for i in items] == want
+    assert [i["place"] for i in items] == list(range(len(want)))
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_nearest_against_brute_force(spark, kind):
     rng = np.random.default_rng(4)
