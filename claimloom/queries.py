@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
@@ -13,6 +13,7 @@ from .functions.encoding import entity_ref_column
 from .operators import evidence, paths, uncertain, views, writes
 from .plans import explain, rules, scenario
 from .plans.compile import FactSpace, evaluate
+from .schema import Entity, Schema
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -322,9 +323,24 @@ def entity_domain(spark, sf):
 GROUP BY c_custkey, c_mktsegment HAVING list_contains(list(o_orderkey), 10)""")
 def entity_find_pivot(spark, sf):
     c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
-    many = o.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderkey")).alias("orders"))
-    rows = c.join(many, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_mktsegment", "orders")
-    return rows.where(F.array_contains("orders", 10))
+    customer = Entity("Customer", (("c_custkey", "int"),), (("c_mktsegment", "string"), ("orders", "int", "multi")))
+
+    def about(key: str) -> Column:
+        return entity_ref_column("Customer", [("c_custkey", "int")], F.col(key)).alias("a0")
+
+    space = FactSpace(
+        spark,
+        {
+            "Customer:exists": c.select(about("c_custkey")),
+            "customer:c_custkey": c.select(about("c_custkey"), F.col("c_custkey").alias("a1")),
+            "customer:c_mktsegment": c.select(about("c_custkey"), F.col("c_mktsegment").alias("a1")),
+            "customer:orders": o.select(about("o_custkey"), F.col("o_orderkey").alias("a1")),
+        },
+    )
+    found = views.find(space, Schema((customer,)), "Customer", orders=10)
+    # find gives multi-valued fields as texts
+    numbers = F.array_sort(F.col("orders").cast(f"array<{dict(o.dtypes)['o_orderkey']}>"))
+    return found.select("c_custkey", "c_mktsegment", numbers.alias("orders"))
 
 
 # paths
