@@ -22,12 +22,15 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t).strip().casefold(), na_action="ignore")
 
 
-def candidates(values: DataFrame, column: str, wanted: str, limit: int, mode: str = "normalized") -> tuple[DataFrame, Column]:
-    """Distinct values that match a text exactly, normalised or by prefix, and whether more than ``limit`` do."""
+def candidates(values: DataFrame, column: str, wanted: str, limit: int | None, mode: str = "normalized") -> tuple[DataFrame, bool]:
+    """Distinct values that match a text exactly, normalised or by prefix, and whether more than ``limit`` do (None: all are given)."""
     want = unicodedata.normalize("NFC", wanted).strip().casefold()
     col = F.col(column)
     test = {"exact": lambda: col == wanted, "normalized": lambda: casefold(col) == want, "prefix": lambda: F.startswith(casefold(col), F.lit(want))}[mode]()
-    found = values.select(column).distinct().where(test).orderBy(column).limit(limit + 1)
+    found = values.select(column).distinct().where(test).orderBy(column)
+    if limit is None:
+        return found, False
+    found = found.limit(limit + 1)
     return found.limit(limit), found.count() > limit
 
 

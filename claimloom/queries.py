@@ -524,7 +524,7 @@ def product_function_udf(spark, sf):
 
 @query("SELECT DISTINCT p_brand FROM part WHERE starts_with(lower(trim(p_brand)), 'brand#1')")
 def candidate_casefold_prefix(spark, sf):
-    return scalar.candidates(table(spark, sf, "part"), "p_brand", " BRAND#1", 1000, "prefix")[0]
+    return scalar.candidates(table(spark, sf, "part"), "p_brand", " BRAND#1", None, "prefix")[0]
 
 
 # time and uncertainty
