@@ -234,12 +234,60 @@ def test_graph_recall_and_storage():
         assert len(ids) == 2 * n
 
 
-def test_recall_of_a_full_shard():
+def brute_nearest(ids, x, queries, k=20):
+    """Each query's nearest other ids by all inner products."""
+    out = {}
+    for q in queries:
+        score = x @ x[ids == q][0]
+        out[int(q)] = [int(ids[i]) for i in np.lexsort((ids, -np.round(score, 9))) if ids[i] != q][:k]
+    return out
+
+
+def recall(got, want):
+    near = {}
+    for r in got:
+        near.setdefault(r["query_id"], set()).add(r["vec_id"])
+    return np.mean([len(near.get(q, set()) & set(w)) / len(w) for q, w in want.items()])
+
+
+@pytest.mark.parametrize(("dim", "spread"), [(64, 1.0), (128, 1.0), (64, 0.0)], ids=["64 unequal", "128 unequal", "64 equal"])
+def test_recall_of_full_shards(spark, monkeypatch, dim, spread):
+    """Shards of the production size, vectors without structure, lengths over a factor of 4 (or equal)."""
+    monkeypatch.setattr(ann, "LEAST_CELLS", 2)
     rng = np.random.default_rng(6)
-    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(n, 64)).astype("f4") for n in (ann.SHARD_ROWS, 200)))
-    who, ids, _ = hnsw.Graph.build(np.arange(len(x)), x).search(q, 20)
-    true = np.argsort(-(q.astype("f8") @ x.T.astype("f8")), axis=1)[:, :20]
-    assert np.mean([len(set(true[k]) & set(ids[who == k])) / 20 for k in range(len(q))]) >= 0.9
+    n = 2 * ann.SHARD_ROWS
+    x = rng.normal(size=(n, dim))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) * 2 ** (spread * rng.uniform(-1, 1, (n, 1)))).astype("f4")
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = ann.nearest(df, lambda i: F.pmod(i, F.lit(60)) == 0).collect()
+    assert recall(got, brute_nearest(np.arange(n), x.astype("f8"), range(0, n, 60))) >= 0.9
+
+
+def test_queries_go_to_few_cells_where_there_is_structure(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_CELLS", 32)
+    monkeypatch.setattr(ann, "SHARD_ROWS", 256)
+    asked = []
+    calibrate = ann.Index.calibrate
+    monkeypatch.setattr(ann.Index, "calibrate", lambda self, *a: (calibrate(self, *a), asked.append((self.n_cells, len(self.cells.centres), self.parts.agg(F.sum("parts")).first()[0]))))
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(40, 32))
+    own = np.where(rng.random(6000) < 0.4, 0, rng.integers(0, 40, 6000))  # one group holds four in ten
+    x = (middle[own] + 0.2 * rng.normal(size=(6000, 32))).astype("f4")
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = ann.nearest(df, lambda i: F.pmod(i, F.lit(20)) == 0).collect()
+    assert recall(got, brute_nearest(np.arange(6000), x.astype("f8"), range(0, 6000, 20))) >= 0.95
+    (cells, of, shards) = asked[0]
+    assert cells <= of // 3 and shards > of  # a large cell is several shards
+
+
+def test_nearest_query_against_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, x = np.asarray([r["vec_id"] for r in rows]), np.asarray([r["embedding"] for r in rows], "f8")
+    got = QUERIES["op6_nearest"](spark, sf).collect()
+    want = brute_nearest(ids, x, [i for i in ids if i % 20 == 0])
+    assert {r["query_id"] for r in got} == set(want) and recall(got, want) >= 0.95
+    for r in got:
+        assert r["score"] == pytest.approx(float(x[ids == r["vec_id"]][0] @ x[ids == r["query_id"]][0]), rel=1e-12)
 
 
 def test_language_id(spark, sf):
