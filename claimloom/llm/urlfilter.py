@@ -10,7 +10,9 @@ level 1 lets through by mistake go into level 2, the listed keys that level 2 le
 through go into level 3, and so on until a level makes no mistake.  A key is then
 listed exactly when the first level that lacks it is an even one (or, if no level
 lacks it, when the number of levels is odd), so membership is exact over the whole
-universe and URLs are judged without a join: the levels are a few constants.
+universe and URLs are judged without a join: a level is one binary constant, of two or three
+bits per key that it holds.  Lists whose cascades would be larger than ``MAX_FILTER_BYTES`` are
+judged by joins with the same result.
 """
 
 from __future__ import annotations
@@ -26,8 +28,11 @@ from .common import ascii_lower, materialize
 Rule = tuple[str, str, str]
 #: Separates host and path in a key; neither can hold it, as a host ends at "/".
 SEP = "/"
-MAX_FILTER_BYTES = 64 << 20
+#: All cascades together; constants go to every task with the plan.  About 12 million rules fit.
+MAX_FILTER_BYTES = 4 << 20
 MAX_LEVELS = 64
+#: Bits in a value of Spark's bitmap aggregates (fixed value).
+BITMAP = 8 * 4096
 
 
 def url_host(url: Column) -> Column:
@@ -51,12 +56,16 @@ def candidate_keys(host: Column, path: Column, path_lengths: Sequence[int]) -> C
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.array_sort(keys), lambda x: x["key"]))
 
 
+class TooLarge(ValueError):
+    """The filters would be larger than allowed."""
+
+
 class Level:
-    """One Bloom filter: ``words`` of 64 bits as a column, ``bits`` in all, ``hashes`` per key."""
+    """One Bloom filter: ``bits`` in all as a binary column ``filter``, ``hashes`` per key."""
 
     def __init__(self, number: int, bits: int, hashes: int) -> None:
         self.number, self.bits, self.hashes = number, bits, hashes
-        self.words: Column | None = None
+        self.filter: Column | None = None
 
     @classmethod
     def sized(cls, number: int, keys: int, rate: float) -> Level:
@@ -69,16 +78,20 @@ class Level:
         return F.array(*[F.pmod(F.shiftright(a, 2) + F.lit(i) * F.shiftright(b, 8), F.lit(self.bits)) for i in range(self.hashes)])
 
     def fill(self, keys: DataFrame) -> None:
-        """Set the keys' bits: they are joined by OR per word on each side of the shuffle."""
+        """Set the keys' bits in bitmaps of 4 kB each, which are joined on both sides of the shuffle."""
         spots = keys.select(F.explode(self.positions(F.col("key"))).alias("p"))
-        words = spots.groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-        row = words.agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m")).select(
-            F.transform(F.sequence(F.lit(0), F.lit(self.bits // 64 - 1)), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long"))).alias("words")
-        )
-        self.words = F.lit(row.first()["words"]).cast("array<bigint>")  # at most MAX_FILTER_BYTES
+        # the functions count from 1
+        maps = spots.groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("m"))
+        known = {r["k"]: bytes(r["m"]) for r in maps.collect()}  # at most MAX_FILTER_BYTES
+        whole = b"".join(known.get(k, bytes(BITMAP // 8)) for k in range(1, -(-self.bits // BITMAP) + 1))
+        self.filter = F.lit(whole[: self.bits // 8])
 
     def holds(self, key: Column) -> Column:
-        return F.forall(self.positions(key), lambda p: F.getbit(F.element_at(self.words, (F.floor(p / 64) + 1).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
+        def is_set(p: Column) -> Column:
+            byte = F.ascii(F.decode(F.substring(self.filter, F.floor(p / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+            return F.getbit(byte, F.pmod(p, F.lit(8)).cast("int")) == 1
+
+        return F.forall(self.positions(key), is_set)
 
 
 class Cascade:
@@ -91,8 +104,7 @@ class Cascade:
     def build(cls, universe: DataFrame, listed: str, max_bytes: int = MAX_FILTER_BYTES) -> Cascade:
         """``universe``: distinct ``key`` and the boolean column ``listed``.
 
-        Raises ValueError if a level would be larger than ``max_bytes``, as levels are
-        sent to every task; such a list needs :func:`label_by_join`.
+        Raises TooLarge if the levels together would be larger than ``max_bytes``.
         """
         sides = {True: universe.where(F.col(listed)).select("key"), False: universe.where(~F.col(listed)).select("key")}
         n_in, n_out = sides[True].count(), sides[False].count()
@@ -103,8 +115,8 @@ class Cascade:
         while n_keys and len(levels) < MAX_LEVELS:
             rate = min(0.5, max(1e-6, n_in / (n_out + 1) * 0.5**0.5)) if not levels else 0.5
             level = Level.sized(len(levels) + 1, n_keys, rate)
-            if level.bits > 8 * max_bytes:
-                raise ValueError(f"a filter of {level.bits // 8} bytes is above {max_bytes}; use label_by_join")
+            if sum(x.bits for x in (*levels, level)) > 8 * max_bytes:
+                raise TooLarge(f"filters of more than {max_bytes} bytes")
             level.fill(sides[inside])
             levels.append(level)
             inside = not inside  # the other side's keys that this level lets through
@@ -114,6 +126,9 @@ class Cascade:
             raise ValueError("the cascade does not end; are keys both listed and unlisted?")
         return cls(levels)
 
+    def size(self) -> int:
+        return sum(level.bits for level in self.levels) // 8
+
     def holds(self, key: Column) -> Column:
         """Whether the key is listed; exact for keys of the universe."""
         verdict: Column = F.lit(len(self.levels) % 2 == 1)
@@ -122,34 +137,52 @@ class Cascade:
         return verdict
 
 
-def label_by_join(universe: DataFrame, rules: DataFrame) -> DataFrame:
-    """The way for lists whose filters would be too large to send: a shuffled join."""
-    return universe.join(rules, "key", "left")
+RULES_SCHEMA = "verdict string, host string, path string"
+
+
+def _checked(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """(key, verdict), each key once; ValueError for rules that cannot be."""
+    table = rules.select("verdict", "host", "path") if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), RULES_SCHEMA)
+    bad = table.where(~F.coalesce(F.col("path").startswith(SEP) & ~F.col("host").contains(SEP) & F.col("verdict").isNotNull(), F.lit(False)))
+    if bad.limit(1).collect():
+        raise ValueError("a rule has a verdict, its path begins with /, and its host has none")
+    keyed = table.groupBy(F.concat("host", "path").alias("key")).agg(F.min("verdict").alias("verdict"), F.max("verdict").alias("_other"), F.max(F.length("path")).alias("_length"))
+    keyed = materialize(keyed, "url-rules")
+    if both := [r["key"] for r in keyed.where("verdict <> _other").orderBy("key").limit(5).collect()]:
+        raise ValueError(f"rules with two verdicts: {both}")
+    return keyed.drop("_other")
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url", default: str = "allow", max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict``; a column of such a name is replaced.
 
-    ``rules``: (verdict, host, path).  Of the rules that fit, the longest (host and
-    path together; ties: longer host) decides; where none fits, ``rule`` is null and
+    ``rules``: (verdict, host, path), as a list or as a table.  Of the rules that fit, the longest
+    (host and path together; ties: longer host) decides; where none fits, ``rule`` is null and
     the verdict ``default``.  A null URL, or one without ``://``, has an empty host and
     path and fits no rule.  Empty tables give empty results; repeated rows stay.
+
+    Where the cascades would take more than ``max_bytes``, the universe is joined with the rules
+    and the URLs with the universe, which gives the same rows.
     """
     spark = pages.sparkSession
-    keys_of = {v: sorted({h + p for w, h, p in rules if w == v}) for v in sorted({v for v, _, _ in rules})}
-    if any(not p.startswith(SEP) or SEP in h for _, h, p in rules):
-        raise ValueError("a rule's path begins with /, and its host has none")
-    both = [k for v, ks in keys_of.items() for k in ks if any(k in o for w, o in keys_of.items() if w != v)]
-    if both:
-        raise ValueError(f"rules with two verdicts: {both}")
-    lengths = sorted({len(p) for _, _, p in rules})
     out = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
-    if not rules:
+    listed = _checked(spark, rules)
+    # a row per length that a rule's path has, and per verdict
+    lengths = sorted(r[0] for r in listed.select("_length").distinct().collect())
+    verdicts = sorted(r[0] for r in listed.select("verdict").distinct().collect())
+    if not lengths:
         return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    listed = spark.createDataFrame([(k, v) for v, ks in keys_of.items() for k in ks], "key string, verdict string")
-    seen = out.select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key"), F.lit(None).cast("string").alias("verdict"))
-    universe = materialize(seen.union(listed).groupBy("key").agg(F.max("verdict").alias("verdict")), "url-universe")
-    cascades = {v: Cascade.build(universe.withColumn("listed", F.coalesce(F.col("verdict") == v, F.lit(False))), "listed") for v in keys_of}
+    keys = candidate_keys(F.col("host"), F.col("path"), lengths)
+    seen = out.select(F.explode(keys).alias("key"), F.lit(None).cast("string").alias("verdict"))
+    universe = seen.union(listed.select("key", "verdict")).groupBy("key").agg(F.max("verdict").alias("verdict"))
+    universe = materialize(universe, "url-universe")
+    left, cascades = max_bytes, {}
+    try:
+        for v in verdicts:
+            cascades[v] = Cascade.build(universe.withColumn("listed", F.coalesce(F.col("verdict") == v, F.lit(False))), "listed", left)
+            left -= cascades[v].size()
+    except TooLarge:
+        return _judge_by_join(out, listed.select("key", "verdict"), lengths, default)
 
     def verdict_of(key: Column) -> Column:
         found: Column = F.lit(None).cast("string")
@@ -158,10 +191,27 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: st
         return found
 
     hits = F.filter(F.transform(F.col("_keys"), lambda k: F.struct(k.alias("key"), verdict_of(k).alias("v"))), lambda x: x["v"].isNotNull())
-    out = out.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths)).withColumn("_hit", F.get(hits, F.lit(0)))
+    out = out.withColumn("_keys", keys).withColumn("_hit", F.get(hits, F.lit(0)))
     return out.withColumns({"rule": F.col("_hit.key"), "verdict": F.coalesce("_hit.v", F.lit(default))}).drop("_keys", "_hit")
 
 
+def _judge_by_join(out: DataFrame, listed: DataFrame, lengths: Sequence[int], default: str) -> DataFrame:
+    """The way for lists whose filters would be too large to send.
+
+    Each distinct host and path is judged once, so a very common URL is one row of the join.
+    """
+    parts = out.select("host", "path").distinct()
+    asked = parts.select("host", "path", F.posexplode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("_at", "key"))
+    # the distinct keys meet the rules, and come back to the parts that asked for them
+    known = asked.select("key").distinct().join(listed, "key")
+    known = materialize(known, "url-known")
+    found = asked.join(known, "key").groupBy("host", "path").agg(F.min(F.struct("_at", "key", "verdict")).alias("_hit"))
+    found = materialize(found, "url-found")
+    kept = [c for c in out.columns if c not in ("rule", "verdict")]
+    judged = out.select(*kept).join(found, ["host", "path"], "left")
+    return judged.select(*kept, F.col("_hit.key").alias("rule"), F.coalesce("_hit.verdict", F.lit(default)).alias("verdict"))
+
+
 #: The rules of the data contract.
 RULES: list[Rule] = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 

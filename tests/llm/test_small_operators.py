@@ -75,10 +75,55 @@ def test_cascade_is_exact_over_its_universe(spark):
     cascade = urlfilter.Cascade.build(universe, "listed")
     assert len(cascade.levels) > 1
     assert universe.where(cascade.holds(F.col("key")) != F.col("listed")).count() == 0
-    with pytest.raises(ValueError, match="label_by_join"):
+    with pytest.raises(urlfilter.TooLarge):
         urlfilter.Cascade.build(universe, "listed", max_bytes=8)
 
 
+def test_filters_and_joins_judge_alike(spark):
+    """A list of a million rules, within the bound and beyond it, against an index in plain Python."""
+    n = 1_000_000
+    rules = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "allow").otherwise("block").alias("verdict"),
+        F.concat(F.lit("h"), (F.col("id") / 4).cast("long"), F.lit(".example")).alias("host"),
+        F.element_at(F.array(F.lit("/"), F.lit("/a/"), F.lit("/a/b/"), F.lit("/é/")), (F.col("id") % 4 + 1).cast("int")).alias("path"),
+    )
+    paths = ("/", "/a/", "/a/b/", "/é/")
+    urls = [f"http://{sub}h{k}.example{path}" for k in [0, 1, 77, n // 4 - 1, n // 4, n] for sub in ("", "www.", "x") for path in ("", "/", "/a/b/c", "/é/x", "/a", "/b/")]
+    urls += [None, "", "no url", "http://h1.example/"]  # and a repeated row
+    pages = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)], "page_id int, url string, rule string")
+
+    def want(url):
+        if not url or "://" not in url:
+            return None, "allow"
+        host, _, path = url.split("://", 1)[1].partition("/")
+        path = "/" + path if _ else ""
+        host = host.removeprefix("www.")
+        number = host.removesuffix(".example")[1:]
+        if host[0] != "h" or not number.isdigit() or int(number) >= n // 4:
+            return None, "allow"
+        fits = [(len(p), k) for k, p in enumerate(paths) if path.startswith(p)]
+        if not fits:
+            return None, "allow"
+        k = max(fits)[1]
+        return host + paths[k], "allow" if (4 * int(number) + k) % 3 == 0 else "block"
+
+    by_filter, by_join = urlfilter.judge(pages, rules), urlfilter.judge(pages, rules, max_bytes=1000)
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in by_filter.collect()}
+    assert got == {k: want(u) for k, u in enumerate(urls)}
+    assert sorted(map(str, by_filter.collect())) == sorted(map(str, by_join.select(*by_filter.columns).collect()))
+    plan = by_filter._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan and "Join" not in plan
+    assert "Join" in by_join._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_that_cannot_be(spark):
+    pages = spark.createDataFrame([("http://a.b/",)], "url string")
+    for rules in ([("allow", "a", "x")], [("allow", "a/b", "/")], [("allow", "a", "/"), ("block", "a", "/")], [("allow", None, "/")]):
+        with pytest.raises(ValueError):
+            urlfilter.judge(pages, rules)
+    assert urlfilter.judge(pages, []).first()["verdict"] == "allow"
+
+
 def water_fill(sizes, weights, total):
     """Deal by weight again and again, cutting at twice the size."""
     got, open_ = dict.fromkeys(sizes, 0.0), set(sizes)
