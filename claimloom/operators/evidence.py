@@ -44,21 +44,24 @@ def condition_impacts(rows: DataFrame, keys: Sequence[str], how: str = "bottlene
     if how == "bottleneck":
         impact = F.round(F.col("weight") * sure, 6)
     elif how == "additive":
-        whole = F.sum("weight").over(Window.partitionBy(*keys))
-        impact = F.when(F.col("weight").isNotNull(), F.when(whole > 0, F.round(F.col("weight") / whole * sure, 6)).otherwise(0.0))
+        rows = _with_whole(rows, keys)
+        impact = F.when(F.col("weight").isNotNull(), F.when(F.col("_whole") > 0, F.round(F.col("weight") / F.col("_whole") * sure, 6)).otherwise(0.0))
     else:
         raise RuleError(f"unknown aggregation: {how}")
-    return rows.withColumn("impact", impact)
+    return rows.withColumn("impact", impact).drop("_whole")
+
+
+def _with_whole(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_whole``, the sum of a key's weights: an aggregation with partial results, then a join."""
+    whole = rows.groupBy(*keys).agg(F.sum("weight").alias("_whole")).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    return rows.join(whole, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*[f"_k_{k}" for k in keys])
 
 
 def certainty(rows: DataFrame, keys: Sequence[str], how: str = "bottleneck") -> DataFrame:
     """One certainty per key: the smallest impact, or the sum of the shares; null if nothing has a weight."""
     if how == "bottleneck":  # needs no window: one aggregation with partial results
         return condition_impacts(rows, keys, how).groupBy(*keys).agg(F.min("impact").alias("certainty"))
-    whole = rows.groupBy(*keys).agg(F.sum("weight").alias("_whole")).withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    joined = rows.join(whole, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    share = F.when(F.col("weight").isNotNull(), F.when(F.col("_whole") > 0, F.round(F.col("weight") / F.col("_whole") * F.coalesce("confidence", F.lit(1.0)), 6)).otherwise(0.0))
-    return joined.groupBy(*keys).agg(F.round(F.sum(share), 6).alias("certainty"))
+    return condition_impacts(rows, keys, how).groupBy(*keys).agg(F.round(F.sum("impact"), 6).alias("certainty"))
 
 
 def ranked_conditions(rows: DataFrame, keys: Sequence[str], how: str = "bottleneck") -> DataFrame:
@@ -86,12 +89,12 @@ def resolve_mapping(rows: DataFrame, keys: Sequence[str], values: Sequence[str],
         order = F.struct(-rank, F.col("ingested_at"))
     else:
         order = F.struct(F.lit(0), F.col("ingested_at"))
+    # the best row of each key comes by a limit within tasks, the spread of its values by partial aggregation
+    best = latest_rank(rows.withColumn("_order", order), keys, [F.desc("_order"), F.asc("asrt_id")]).drop("_order")
     value = F.struct(*values)
-    lowest = Window.partitionBy(*keys).orderBy(order.desc(), "asrt_id")
-    spread = Window.partitionBy(*keys)
-    out = rows.withColumns({"_rank": F.row_number().over(lowest), "_low": F.min(value).over(spread), "_high": F.max(value).over(spread)}).where("_rank = 1")
-    same = F.col("_low") == F.col("_high")
-    reason = F.when(same, F.lit("single_value"))
+    spread = rows.groupBy(*keys).agg((F.min(value) == F.max(value)).alias("_same")).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    out = best.join(spread, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    reason = F.when(F.col("_same"), F.lit("single_value"))
     if tie_break == "error":
         said = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
         reason = reason.otherwise(F.raise_error(F.concat(F.lit("mapping conflict for "), said)).cast("string"))

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from datetime import timedelta
 from decimal import Decimal
 from functools import reduce
-from itertools import combinations
 from typing import Any
 
 import pandas as pd
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ceil_bin, floor_bin
 from ..plans.compile import FactSpace, column_of, evaluate
-from ..plans.ir import Agg, Cmp, Not, RuleError, parse
+from ..plans.ir import Agg, Body, Cmp, Not, Pred, RuleError, atoms_vars, parse
 from ..sources.shared import materialize
 
 #: Exact counting is exponential in the variables of one answer that share proofs.
@@ -129,10 +128,12 @@ def answer_probability(proofs: DataFrame, keys: Sequence[str], exclusive: bool =
     return simple.unionByName(hard.groupBy(*keys).applyInPandas(solve, schema))
 
 
-def rule_probability(facts: FactSpace, where: Any, select: list[str], resolve: Callable[[str, str], DataFrame] | None = None) -> DataFrame:
+def rule_probability(facts: FactSpace, where: Any, select: list[str], resolve: Callable[[str, str], DataFrame] | None = None, case_probabilities: Sequence[float] | None = None) -> DataFrame:
     """Probability of each answer of a body over facts with ``_asrt`` and ``_p``; facts without are certain.
 
-    Each solution is a proof, the set of assertions that it used.  Negation and aggregates
+    Each solution is a proof, the set of assertions that it used.  With ``case_probabilities``, one
+    in (0, 1] per branch, a proof also needs a chance of its own: one for each branch and
+    binding of all its variables, independent of all others.  Negation and aggregates
     over uncertain facts are refused: a witness does not show what they depend on.
     """
     body = parse(where)
@@ -140,11 +141,23 @@ def rule_probability(facts: FactSpace, where: Any, select: list[str], resolve: C
         terms = (atom.left, atom.right) if isinstance(atom, Cmp) else getattr(atom, "args", ())
         if isinstance(atom, Not) or any(isinstance(t, Agg) for t in terms):
             raise RuleError("negation and aggregates have no probability here")
-    rows = evaluate(facts, body, select, resolve=resolve, witness=True)
+    chances = [1.0] * len(body.branches) if case_probabilities is None else list(case_probabilities)
+    if len(chances) != len(body.branches) or any(isinstance(c, bool) or not 0 < c <= 1 for c in chances):
+        raise RuleError("case probabilities are one number in (0, 1] per branch")
     keys = [column_of(v) for v in select]
-    proof = F.array_sort(F.array_distinct(F.filter(F.transform("_w", lambda w: w["assertion"]), lambda a: a.isNotNull())))
-    rows = rows.select(*keys, proof.alias("facts")).distinct()
-    known = [facts[n].select(F.col("_asrt").cast("string").alias("fact"), F.col("_p").cast("double").alias("p")) for n in facts.names() if {"_asrt", "_p"} <= set(facts[n].columns)]
+    used_facts = F.filter(F.transform("_w", lambda w: w["assertion"]), lambda a: a.isNotNull())
+    parts, known = [], []
+    for case, (atoms, chance) in enumerate(zip(body.branches, chances, strict=True)):
+        every = sorted(set(select) | set(atoms_vars(atoms))) if chance < 1 else select
+        rows = evaluate(facts, Body((atoms,)), every, resolve=resolve, witness=True)
+        proof = used_facts
+        if chance < 1:
+            ground = F.concat(F.lit(f"case {case} "), F.to_json(F.struct(*[column_of(v) for v in every]), {"ignoreNullFields": "false"}))
+            proof = F.concat(proof, F.array(ground))
+            known.append(rows.select(ground.alias("fact"), F.lit(chance).alias("p")).distinct())
+        parts.append(rows.select(*keys, F.array_sort(F.array_distinct(proof)).alias("facts")))
+    rows = reduce(DataFrame.unionByName, parts).distinct()
+    known += [facts[n].select(F.col("_asrt").cast("string").alias("fact"), F.col("_p").cast("double").alias("p")) for n in facts.names() if {"_asrt", "_p"} <= set(facts[n].columns)]
     certain = rows.select(*keys).distinct().withColumn("p", F.lit(1.0))
     if not known:
         return certain
@@ -210,6 +223,72 @@ def interval_fixpoint(nodes: DataFrame, edges: DataFrame, rules: Sequence[Interv
     return out.select("node", "label", "lo", "hi", "step")
 
 
+@dataclass(frozen=True)
+class IntervalClause:
+    """head(vars) gets an interval ``delay`` steps after all atoms of a branch hold within their bounds.
+
+    ``where`` is a body of positive predicates.  An atom holds while its fact's interval lies within
+    ``body_bounds`` of its predicate (else [1, 1]); the head's interval is that of the branch in
+    ``branch_bounds``, else ``bound``.
+    """
+
+    head: str
+    select: tuple[str, ...]
+    where: Any
+    bound: tuple[float, float] = (1.0, 1.0)
+    branch_bounds: dict[int, tuple[float, float]] | None = None
+    body_bounds: dict[str, tuple[float, float]] | None = None
+    delay: int = 1
+
+
+def interval_program(facts: dict[str, DataFrame], rules: Sequence[IntervalClause], steps: int) -> dict[str, DataFrame]:
+    """What the rules derive, per head: its arguments ``a0 ..``, lo, hi, step.
+
+    ``facts`` have arguments ``a0 ..``, lo, hi and the steps ``from`` and ``to`` (null: for ever) in which they
+    hold.  Of an atom that several derivations reach at once the first stays, then the lowest interval.
+    Given atoms, and [0, 0], are not results.  Each step is a written table.
+    """
+    for r in rules:
+        for atom in (a for b in parse(r.where).branches for a in b):
+            if not isinstance(atom, Pred):
+                raise RuleError("interval rules take positive predicates only")
+        if r.delay < 0:
+            raise RuleError("a delay is no less than 0")
+    spark = next(iter(facts.values())).sparkSession
+    known = {n: materialize(df.select(*_args(df), "lo", "hi", F.col("from").cast("int").alias("start"), F.col("to").cast("int").alias("stop"), F.lit(0).alias("step")), "intervals") for n, df in facts.items()}
+    for t in range(steps + 1):
+        fresh: dict[str, list[DataFrame]] = {}
+        for r in rules:
+            if t + r.delay > steps or t + max(r.delay, 1) > steps:
+                continue
+            limits = r.body_bounds or {}
+            for k, atoms in enumerate(parse(r.where).branches):
+                names = {a.name for a in atoms}
+                if not names <= set(known):
+                    continue
+                now = {}
+                for n in names:
+                    low, high = limits.get(n, (1.0, 1.0))
+                    rows = known[n].where((F.col("start") <= t) & (F.col("stop").isNull() | (F.col("stop") >= t)) & (F.col("lo") >= low) & (F.col("hi") <= high))
+                    now[n] = rows.select(*_args(rows)).distinct()
+                hits = evaluate(FactSpace(spark, now), Body((atoms,)), list(dict.fromkeys(r.select)))
+                lo, hi = (r.branch_bounds or {}).get(k, r.bound)
+                at = F.lit(t + max(r.delay, 1))
+                cols = [F.col(column_of(v)).alias(f"a{i}") for i, v in enumerate(r.select)]
+                fresh.setdefault(r.head, []).append(hits.select(*cols, F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), at.alias("start"), F.lit(None).cast("int").alias("stop"), at.alias("step")))
+        for head, found in fresh.items():
+            args = _args(found[0])
+            new = reduce(DataFrame.unionByName, found).groupBy(*args).agg(F.min(F.struct("step", "lo", "hi", "start", "stop")).alias("x")).select(*args, "x.lo", "x.hi", "x.start", "x.stop", "x.step")
+            if head in known:
+                new = known[head].unionByName(new.join(known[head].select(*args), args, "left_anti"))
+            known[head] = materialize(new, "intervals")
+    return {n: df.where("step >= 1 AND NOT (lo = 0 AND hi = 0)").select(*_args(df), "lo", "hi", "step") for n, df in known.items() if any(r.head == n for r in rules)}
+
+
+def _args(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith("a") and c[1:].isdigit()]
+
+
 # time
 
 
@@ -222,11 +301,16 @@ def boundary_steps(rows: DataFrame, start: str, end: str) -> DataFrame:
     ends = spark.createDataFrame([(start,), (end,)], "b string")
     begin = F.coalesce("valid_from", F.lit(start))
     all_b = ends.union(rows.select(begin.alias("b"))).union(rows.where("valid_to IS NOT NULL").select("valid_to")).distinct()
-    # places by a two-level count: within ranges by a window, across them by few sums
-    part = F.substring("b", 1, 7)
-    sums = all_b.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    all_b = materialize(all_b, "boundary-texts")
+    # places by a two-level count: within ranges by a window, across them by few sums; any ranges give the same places
+    n = all_b.count()
+    parts = min(1024, 1 + n // 100_000)
+    some = sorted(r["b"] for r in all_b.sample(min(1.0, 64 * parts / n), 1).collect())[:: 64] if parts > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(e) for e in some]), lambda e: e < F.col("b"))) if some else F.lit(0)
+    all_b = all_b.withColumn("part", part)
+    sums = all_b.groupBy("part").agg(F.count("*").alias("n"))
     base = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    placed = all_b.withColumn("part", part).join(base, "part").select("b", (F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("b")) - 1).cast("long").alias("at"))
+    placed = all_b.join(F.broadcast(base), "part").select("b", (F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("b")) - 1).cast("long").alias("at"))
     placed = materialize(placed, "boundaries")
     out = rows.withColumn("_begin", begin).join(placed.select(F.col("b").alias("_begin"), F.col("at").alias("active_from")), "_begin")
     return out.join(placed.select(F.col("b").alias("valid_to"), F.col("at").alias("active_to")), "valid_to", "left").drop("_begin")
@@ -245,15 +329,3 @@ def time_binned(rows: DataFrame, start: Column, end: Column, step: timedelta, be
     wrong = F.when(~whole, "the universe is no whole number of bins").when((b < start) | (b >= end), "begins outside the universe").when(F.col(stop) > end, "ends outside the universe").when(F.col(stop) <= b, "ends before it begins")
     ok = F.when(wrong.isNull(), floor_bin(b, start, step)).otherwise(F.raise_error(wrong).cast("long"))
     return rows.withColumns({"bin_from": ok, "bin_to": F.when(F.col(stop).isNotNull(), ceil_bin(F.col(stop), start, step))})
-
-
-def inclusion_exclusion(proofs: Sequence[frozenset], p: dict) -> float:
-    """The same probability by inclusion and exclusion, for few proofs; used to check the other."""
-    total = 0.0
-    for n in range(1, len(proofs) + 1):
-        for some in combinations(proofs, n):
-            q = 1.0
-            for f in frozenset().union(*some):
-                q *= p[f]
-            total += (-1) ** (n + 1) * q
-    return total

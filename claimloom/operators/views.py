@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.encoding import entity_ref_column
+from ..functions.encoding import entity_ref, entity_ref_column
 from ..plans.compile import FactSpace
 from ..plans.ir import RuleError
 from ..schema import SPARK_TYPES, PredicateSpec, Schema
@@ -230,7 +230,7 @@ def evidence_scope(ledger: Ledger, ignored: Sequence[str]) -> Ledger:
     unknown = ids.join(ledger.claims, "asrt_id", "left_anti").limit(1).collect()
     if unknown:
         raise RuleError(f"unknown assertion: {unknown[0][0]}")
-    return replace(ledger, claims=ledger.claims.join(F.broadcast(ids), "asrt_id", "left_anti"))
+    return replace(ledger, claims=ledger.claims.join(ids, "asrt_id", "left_anti"))
 
 
 # reads
@@ -261,7 +261,7 @@ def by_ids(ledger: Ledger, ids: Sequence[str], strict: bool = False) -> DataFram
     want = ledger.claims.sparkSession.createDataFrame([(i,) for i in ids], "asrt_id string")
     if strict and (lost := want.join(ledger.claims, "asrt_id", "left_anti").limit(1).collect()):
         raise RuleError(f"unknown assertion: {lost[0][0]}")
-    return ledger.claims.join(F.broadcast(want), "asrt_id", "left_semi")
+    return ledger.claims.join(want, "asrt_id", "left_semi")
 
 
 def one(rows: DataFrame):
@@ -299,6 +299,32 @@ def find(facts: FactSpace, schema: Schema, entity: str, limit: int | None = None
     return rows.limit(limit) if limit is not None else rows
 
 
+def entity_of(ledger: Ledger, schema: Schema, entity: str, **identity) -> DataFrame:
+    """The entity of a complete identity with all its fields: one row, or none.  Only its own claims are read."""
+    spec = next((e for e in schema.entities if e.name == entity), None)
+    if spec is None or set(identity) != {n for n, _ in spec.identity}:
+        raise RuleError(f"{entity} is no entity of that identity")
+    e_ref = entity_ref(entity, [(n, t, identity[n]) for n, t in spec.identity])
+    own = replace(ledger, claims=ledger.claims.where(F.col("e_ref") == e_ref))
+    names = [p.name for p in schema.predicates() if p.owner == entity and p.role in ("exists", "identity", "field")]
+    return entities(project(own, schema, names), schema, entity)
+
+
+def has_entity(ledger: Ledger, schema: Schema, entity: str, **identity) -> bool:
+    return not entity_of(ledger, schema, entity, **identity).isEmpty()
+
+
+def annotations_of(ledger: Ledger, *, asrt_id: str | None = None, **equal: str) -> DataFrame:
+    """Annotations, each column compared with a value if one is given, in order of their columns."""
+    rows = ledger.annotations
+    for name, value in {"asrt_id": asrt_id, **equal}.items():
+        if name not in rows.columns:
+            raise RuleError(f"annotations have no {name}")
+        if value is not None:
+            rows = rows.where(F.col(name) == value)
+    return rows.orderBy(*rows.columns)
+
+
 def conflicts(ledger: Ledger, spec: PredicateSpec) -> DataFrame:
     """(group keys, active assertions, chosen): groups of a single-valued predicate with several active claims."""
     keys = [f"a{g}" for g in spec.group]
@@ -308,7 +334,10 @@ def conflicts(ledger: Ledger, spec: PredicateSpec) -> DataFrame:
 
 
 def latest_rank(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in a given order, ties included in the order."""
+    """The first row of each key in a given order.
+
+    Spark limits each task to the first row of a key before the shuffle, so a hot key is no hot task.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import pandas as pd
@@ -11,14 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.encoding import ingest_key
+from ..functions.encoding import entity_ref, ingest_key
 from ..plans.ir import RuleError
 from ..schema import PredicateSpec, Schema
 from ..sources.shared import materialize
-from .views import Ledger, active, effective_meta
+from .views import Ledger, active, effective_meta, entity_domain
 
 #: A batch's items: what is claimed, from where, and for when.
 ITEMS = "pred_id string, e_ref string, args array<struct<tag:string,value:string>>, source string, source_loc string, trace_id string, valid_from string, valid_to string, version string"
+#: Columns that items may have besides: their order (else the order of the rows), what to do with them
+#: (``set``, ``add`` or ``retract``; else set), and the assertion to retract.
+OPTIONAL = {"ordinal": "long", "op": "string", "asrt_id": "string"}
 META_KEYS = ("source", "source_loc", "trace_id", "valid_from", "valid_to", "version")
 
 
@@ -51,25 +55,61 @@ def new_only(items: DataFrame, held: DataFrame, key: str = "ingest_key") -> Data
     return items.dropDuplicates([key]).join(held.select(key), key, "left_anti")
 
 
+def ordered(items: DataFrame) -> DataFrame:
+    """Items with all of :data:`OPTIONAL`'s columns, written, so that their order stays."""
+    if "ordinal" not in items.columns:
+        items = items.withColumn("ordinal", F.monotonically_increasing_id())
+    for name, kind in OPTIONAL.items():
+        if name not in items.columns:
+            items = items.withColumn(name, F.lit("set" if name == "op" else None).cast(kind))
+    return materialize(items, "batch")
+
+
+def numbered(rows: DataFrame, order: str, per_part: int = 100_000) -> DataFrame:
+    """Add ``_place``: 0 and up in the order of a number, by sums over its ranges, so no task sees all rows."""
+    parts = min(1024, 1 + rows.count() // per_part)
+    edges = sorted(set(rows.approxQuantile(order, [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(order))) if edges else F.lit(0)
+    rows = rows.withColumn("_b", part)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = rows.groupBy("_b").agg(F.count("*").alias("n")).select("_b", before.alias("_base"))  # at most 1024 rows
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(order))
+    return rows.withColumn("_own", own).join(F.broadcast(base), "_b").withColumn("_place", (F.col("_base") + F.col("_own") - 1).cast("long")).drop("_b", "_own", "_base")
+
+
 def append_claims(ledger: Ledger, items: DataFrame, tx_seq: int, first_seq: int = 0) -> Ledger:
-    """The ledger with a batch added; items it holds already are skipped.
+    """The ledger with a batch added, in the items' order: of two claims on one field the later wins.
 
-    Sequence numbers follow ``first_seq`` in key order, dealt by a prefix sum over hash
-    ranges, so no task sees the whole batch.
+    An item to ``set`` is skipped if an active claim has its ingest key, or an earlier item of the
+    batch; one to ``add`` is always written.  A claim has the sequence number ``first_seq`` + 1 and
+    up, and its ordinal within the transaction from 0, both without repeats.
     """
+    return _append(ledger, ordered(items).where("op <> 'retract'"), tx_seq, first_seq)
+
+
+def _append(ledger: Ledger, items: DataFrame, tx_seq: int, first_seq: int, leaving: DataFrame | None = None) -> Ledger:
+    """``leaving``: (asrt_id, gone) of active claims that the batch revokes at an ordinal."""
     live = active(ledger.claims, ledger.revocations).select("asrt_id")
-    held = effective_meta(ledger).where("key = 'ingest_key'").join(live, "asrt_id", "left_semi").select(F.col("value").alias("ingest_key"))
-    fresh = materialize(new_only(with_keys(items), held), "batch").withColumn("_b", F.pmod(F.xxhash64("ingest_key"), F.lit(256)).cast("int"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = fresh.groupBy("_b").agg(F.count("*").alias("n")).select("_b", before.alias("_base"))  # 256 rows
-    own = F.row_number().over(Window.partitionBy("_b").orderBy("ingest_key"))
-    rows = fresh.withColumn("_own", own).join(F.broadcast(base), "_b").withColumn("seq", F.lit(first_seq).cast("long") + F.col("_base") + F.col("_own"))
-    # the same key may come again after a revocation, so the id holds the transaction too
-    rows = rows.withColumn("asrt_id", F.concat(F.lit("asrt:"), F.sha2(F.encode(F.concat_ws("/", "ingest_key", F.lit(str(tx_seq))), "UTF-8"), 256)))
-    claims = rows.select("asrt_id", "seq", F.lit(tx_seq).cast("long").alias("tx_seq"), F.col("_own").cast("int").alias("op_ordinal"), "pred_id", "e_ref", "args")
+    held = effective_meta(ledger).where("key = 'ingest_key'").join(live, "asrt_id", "left_semi").select("asrt_id", F.col("value").alias("ingest_key"))
+    # a key is held until its last claim is revoked
+    until = held.withColumn("gone", F.lit(None).cast("long")) if leaving is None else held.join(leaving, "asrt_id", "left")
+    never = F.lit((1 << 63) - 1).cast("long")
+    held = until.groupBy("ingest_key").agg(F.max(F.coalesce("gone", never)).alias("until"))
+    keyed = materialize(with_keys(items), "batch")
+    sets = keyed.where("op = 'set'").join(held, "ingest_key", "left").where("until IS NULL OR until < ordinal")
+    names = [c for c in keyed.columns if c != "ingest_key"]
+    sets = sets.groupBy("ingest_key").agg(F.min_by(F.struct(*names), "ordinal").alias("_first")).select("ingest_key", "_first.*")
+    fresh = sets.unionByName(keyed.where("op = 'add'"))
+    rows = numbered(materialize(fresh, "batch"), "ordinal")
+    # the same key may come again after a revocation, so the id holds the transaction too, and of an added one its place
+    own = F.when(F.col("op") == "add", F.concat(F.lit("/"), "_place")).otherwise("")
+    rows = rows.withColumn("asrt_id", F.concat(F.lit("asrt:"), F.sha2(F.encode(F.concat(F.concat_ws("/", "ingest_key", F.lit(str(tx_seq))), own), "UTF-8"), 256)))
+    rows = rows.withColumns({"tx_seq": F.lit(tx_seq).cast("long"), "op_ordinal": F.col("_place").cast("int"), "seq": F.lit(first_seq + 1).cast("long") + F.col("_place")})
+    rows = materialize(rows, "appended")
+    claims = rows.select("asrt_id", "seq", "tx_seq", "op_ordinal", "pred_id", "e_ref", "args")
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in ("ingest_key", *META_KEYS)])
-    meta = rows.select("asrt_id", F.explode(pairs).alias("m"), F.col("_own").cast("int").alias("op_ordinal")).where("m.value IS NOT NULL")
-    meta = meta.select("asrt_id", "m.key", F.lit("str").alias("kind"), "m.value", F.lit(tx_seq).cast("long").alias("tx_seq"), "op_ordinal")
+    meta = rows.select("asrt_id", F.explode(pairs).alias("m"), "tx_seq", "op_ordinal").where("m.value IS NOT NULL")
+    meta = meta.select("asrt_id", "m.key", F.lit("str").alias("kind"), "m.value", "tx_seq", "op_ordinal")
     return Ledger(ledger.claims.unionByName(claims), ledger.claim_meta.unionByName(meta), ledger.tx_defaults, ledger.revocations, ledger.annotations)
 
 
@@ -133,17 +173,41 @@ def _value_error(p: PredicateSpec) -> Column:
     return out
 
 
-def ingest(ledger: Ledger, items: DataFrame, schema: Schema, tx_seq: int, mode: str = "stop", first_seq: int = 0) -> tuple[Ledger, DataFrame]:
-    """Validate and append a batch.  ``stop``: any error refuses it all; ``collect``: good items go in."""
-    errors = materialize(value_errors(items, schema), "errors")
-    if mode == "stop":
-        if not errors.isEmpty():
-            return ledger, errors
-        return append_claims(ledger, items, tx_seq, first_seq), errors
-    if mode != "collect":
+def item_errors(ledger: Ledger, items: DataFrame, schema: Schema) -> DataFrame:
+    """(ordinal, error) of items that cannot be applied."""
+    values = value_errors(items.where("op IN ('set', 'add')"), schema).select("ordinal", "error")
+    unknown = items.where("op = 'retract'").join(ledger.claims.select("asrt_id"), "asrt_id", "left_anti").select("ordinal", F.lit("unknown assertion").alias("error"))
+    strange = items.where("op IS NULL OR op NOT IN ('set', 'add', 'retract')").select("ordinal", F.lit("unknown operation").alias("error"))
+    guarded = [p.name for p in schema.predicates() if p.role in ("identity", "exists")]
+    kept = ledger.claims.where(F.col("pred_id").isin(*guarded)).select("asrt_id") if guarded else ledger.claims.select("asrt_id").limit(0)
+    guard = items.where("op = 'retract'").join(kept, "asrt_id", "left_semi").select("ordinal", F.lit("identity and existence claims are protected").alias("error"))
+    return reduce(DataFrame.unionByName, [values, unknown, strange, guard])
+
+
+def ingest(ledger: Ledger, items: DataFrame, schema: Schema, tx_seq: int, mode: str = "stop", first_seq: int = 0, revoker: str = "ingest") -> tuple[Ledger, DataFrame]:
+    """Apply items in order; returns the ledger and (ordinal, error) of those that could not be.
+
+    ``stop``: what comes before the first error goes in, and that error is returned; ``collect``:
+    all good items go in.  Items of one ledger state are checked against it: a retraction
+    names a claim that was there before the batch.  Retracting a revoked claim does nothing;
+    a field set again after its retraction is written.
+    """
+    if mode not in ("stop", "collect"):
         raise RuleError(f"unknown mode: {mode}")
-    good = items.join(errors.drop("error").distinct(), [F.to_json(F.struct(*[items[c] for c in ("pred_id", "e_ref", "args")])) == F.to_json(F.struct(*[errors[c] for c in ("pred_id", "e_ref", "args")]))], "left_anti")
-    return append_claims(ledger, good, tx_seq, first_seq), errors
+    items = ordered(items)
+    errors = materialize(item_errors(ledger, items, schema), "errors")
+    if mode == "stop":
+        first = errors.agg(F.min("ordinal")).first()[0]
+        if first is not None:
+            errors = errors.where(F.col("ordinal") == first)
+            items = items.where(F.col("ordinal") < first)
+    else:
+        items = items.join(errors.select("ordinal"), "ordinal", "left_anti")
+    gone = materialize(items.where("op = 'retract'").groupBy("asrt_id").agg(F.min("ordinal").alias("gone")), "retracted")
+    out = _append(ledger, items.where("op <> 'retract'"), tx_seq, first_seq, gone)
+    if not gone.isEmpty():
+        out = retract(out, gone, revoker, tx_seq)
+    return out, errors
 
 
 def accept(candidates: DataFrame, existing: DataFrame, key: str = "candidate_key", dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -190,6 +254,86 @@ def accept_in_order(candidates: DataFrame, key: str = "candidate_key", needs: st
     return out.withColumn("status", F.when(F.col("level").isNull(), F.lit("blocked_dependency")).otherwise(F.lit("accepted")))
 
 
+def accept_many(ledger: Ledger, candidates: DataFrame, items: DataFrame, tx_seq: int, mode: str = "atomic", first_seq: int = 0, key: str = "candidate_key", needs: str = "needs") -> tuple[Ledger, DataFrame]:
+    """Write candidates' items in order of dependency; returns the ledger and (key, level, status, error).
+
+    ``candidates`` has a key, the keys it needs, and ``error`` (null: valid); ``items`` are theirs by key.
+    ``best_effort``: failed ones are FAILED_VALIDATION, what needs them is BLOCKED_DEPENDENCY, the others
+    are ACCEPTED and written.  ``atomic``: with any that is not accepted nothing is written, and those
+    that would have been are FAILED_RUNTIME with ATOMIC_ROLLBACK.
+    """
+    if mode not in ("atomic", "best_effort"):
+        raise RuleError(f"unknown mode: {mode}")
+    failed = materialize(candidates.where("error IS NOT NULL").select(key, "error").dropDuplicates([key]), "failed")
+    placed = accept_in_order(candidates, key, needs, failed.select(key)).join(failed, key, "left")
+    status = F.when(F.col("error").isNotNull(), "FAILED_VALIDATION").when(F.col("status") == "accepted", "ACCEPTED").otherwise("BLOCKED_DEPENDENCY")
+    error = F.coalesce("error", F.when(F.col("status") != "accepted", "BLOCKED_DEPENDENCY"))
+    report = materialize(placed.select(key, "level", status.alias("status"), error.alias("error")), "accepted")
+    if mode == "atomic" and not report.where("status <> 'ACCEPTED'").isEmpty():
+        undone = F.col("status") == "ACCEPTED"
+        return ledger, report.withColumns({"error": F.when(undone, "ATOMIC_ROLLBACK").otherwise(F.col("error")), "status": F.when(undone, "FAILED_RUNTIME").otherwise(F.col("status"))})
+    good = ordered(items).join(report.where("status = 'ACCEPTED'").select(key, "level"), key)
+    # a candidate's items come after those of all that it needs
+    good = numbered_by(good, ["level", "ordinal"]).drop(key, "level")
+    return append_claims(ledger, good, tx_seq, first_seq), report
+
+
+def numbered_by(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``ordinal`` anew, rising in the order of several columns (sorted ranges, numbered within and across)."""
+    return materialize(rows.orderBy(*order).drop("ordinal").withColumn("ordinal", F.monotonically_increasing_id()), "ordered")
+
+
+@dataclass
+class EntityPlan:
+    """What writing to an entity would do: its reference, whether it is new, the items, and why it cannot be."""
+
+    e_ref: str | None
+    is_new: bool
+    items: list[dict]
+    error: str | None = None
+
+    def apply(self, ledger: Ledger, tx_seq: int, first_seq: int = 0) -> Ledger:
+        if self.error:
+            raise RuleError(self.error)
+        if not self.items:
+            return ledger
+        frame = ledger.claims.sparkSession.createDataFrame([(*(i[c] for c in ("pred_id", "e_ref", "args", *META_KEYS)), k) for k, i in enumerate(self.items)], f"{ITEMS}, ordinal long")
+        return append_claims(ledger, frame, tx_seq, first_seq)
+
+
+def plan_entity(ledger: Ledger, schema: Schema, entity: str, identity: Mapping[str, object], fields: Mapping[str, object] | None = None, create: bool = True, **meta: str) -> EntityPlan:
+    """Plan the writing of fields (multi-valued ones: lists) to the entity of an identity, which is made if ``create``.
+
+    The identity is complete and has no other field.  A new entity's identity claims come first.
+    """
+    spec = next((e for e in schema.entities if e.name == entity), None)
+    if spec is None:
+        return EntityPlan(None, False, [], f"unknown entity: {entity}")
+    if set(identity) != {n for n, _ in spec.identity}:
+        return EntityPlan(None, False, [], f"{entity} is identified by {sorted(n for n, _ in spec.identity)}")
+    by_field = {p.field: p for p in schema.predicates() if p.owner == entity and p.role == "field"}
+    if unknown := set(fields or {}) - set(by_field):
+        return EntityPlan(None, False, [], f"{entity} has no field {sorted(unknown)}")
+    try:
+        e_ref = entity_ref(entity, [(n, t, identity[n]) for n, t in spec.identity])
+    except ValueError as e:
+        return EntityPlan(None, False, [], str(e))
+    own = replace(ledger, claims=ledger.claims.where(F.col("e_ref") == e_ref))  # filters reach the scan
+    is_new = entity_domain(own, schema, entity).isEmpty()
+    if is_new and not create:
+        return EntityPlan(e_ref, True, [], f"there is no such {entity}")
+    batch = Batch(schema)
+    own_name = {p.field: p.name for p in schema.predicates() if p.owner == entity and p.role == "identity"}
+    if is_new:
+        for n, _ in spec.identity:
+            batch.set(own_name[n], e_ref, identity[n], **meta)
+    for n, v in (fields or {}).items():
+        for one in v if by_field[n].cardinality == "multi" and isinstance(v, (list, tuple)) else [v]:
+            batch.set(by_field[n].name, e_ref, one, **meta)
+    bad = value_errors(batch.frame(ledger), schema).select("error").limit(1).collect() if batch.items else []
+    return EntityPlan(e_ref, is_new, batch.items, bad[0][0] if bad else None)
+
+
 def union_ledgers(parts: Sequence[Ledger]) -> Ledger:
     """Several ledgers' tables together."""
     names = ("claims", "claim_meta", "tx_defaults", "revocations", "annotations")
@@ -216,10 +360,14 @@ class Batch:
         if unknown := set(meta) - set(META_KEYS):
             raise RuleError(f"unknown metadata: {sorted(unknown)}")
         shown = [{"tag": t, "value": str(v).lower() if t == "bool" else str(v)} for t, v in zip(spec.args[1:], values, strict=True)]
-        self.items.append({"pred_id": predicate, "e_ref": e_ref, "args": shown, **{k: meta.get(k) for k in META_KEYS}})
+        self.items.append({"pred_id": predicate, "e_ref": e_ref, "args": shown, **{k: meta.get(k) for k in META_KEYS}, "op": "set"})
         return self
 
-    add = set
+    def add(self, predicate: str, e_ref: str, *values, **meta: str) -> Batch:
+        """Stage a claim that is written even where an equal one is held."""
+        self.set(predicate, e_ref, *values, **meta)
+        self.items[-1]["op"] = "add"
+        return self
 
     def retract(self, asrt_id: str) -> Batch:
         self.retracted.append(asrt_id)
@@ -238,7 +386,8 @@ class Batch:
         return out
 
     def frame(self, ledger: Ledger) -> DataFrame:
-        return ledger.claims.sparkSession.createDataFrame([tuple(i[c] for c in ("pred_id", "e_ref", "args", *META_KEYS)) for i in self.items], ITEMS)
+        """The items with their place in the batch."""
+        return ledger.claims.sparkSession.createDataFrame([(*(i[c] for c in ("pred_id", "e_ref", "args", *META_KEYS)), i.get("op", "set"), k) for k, i in enumerate(self.items)], f"{ITEMS}, op string, ordinal long")
 
     def preview(self, ledger: Ledger) -> DataFrame:
         """(pred_id, e_ref, status): what applying would do: write, skip (held already) or refuse."""
@@ -247,7 +396,7 @@ class Batch:
         held = effective_meta(ledger).where("key = 'ingest_key'").join(live, "asrt_id", "left_semi").select(F.col("value").alias("ingest_key")).distinct().withColumn("held", F.lit(True))
         bad = with_keys(value_errors(self.frame(ledger), self.schema).drop("error")).select("ingest_key").distinct().withColumn("bad", F.lit(True))
         out = items.join(held, "ingest_key", "left").join(bad, "ingest_key", "left")
-        return out.select("pred_id", "e_ref", F.when(F.col("bad"), "refuse").when(F.col("held"), "skip").otherwise("write").alias("status"))
+        return out.select("pred_id", "e_ref", F.when(F.col("bad"), "refuse").when(F.col("held") & (F.col("op") == "set"), "skip").otherwise("write").alias("status"))
 
     def apply(self, ledger: Ledger, tx_seq: int, first_seq: int = 0, revoker: str = "batch") -> Ledger:
         """All of it, or RuleError and nothing."""

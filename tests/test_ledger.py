@@ -1,20 +1,22 @@
 """The ledger: views, metadata, premises, writes, stores, files, and what is uncertain."""
 
 import random
+import threading
 from datetime import timedelta
-from itertools import pairwise
+from itertools import combinations, pairwise
+from math import prod
 
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from claimloom import RuleError, evaluate
+from claimloom import FactSpace, RuleError, evaluate
 from claimloom.functions import encoding, scalar
 from claimloom.operators import evidence, paths, uncertain, views, writes
 from claimloom.operators.views import CLAIM_META, CLAIMS, REVOCATIONS, TX_DEFAULTS, Ledger
 from claimloom.schema import Entity, PredicateSpec, Relationship, Schema
-from claimloom.sources import audit, provider, store, tsv
+from claimloom.sources import audit, provider, shared, store, tsv
 from claimloom.streaming import latest
 
 USER = Entity("DomainUser", (("user_id", "string"), ("tenant_id", "int")), (("name", "string"), ("tag", "string", "multi")))
@@ -168,9 +170,134 @@ def test_ingest_validates(spark):
         return [{"tag": "string", "value": v}]
 
     batch = spark.createDataFrame([item("color", A, s("red")), item("color", A, s("green")), item("code", A, s("ab")), item("nope", A, s("x")), item("color", A, [{"tag": "int", "value": "1"}]), item("color", A, [])], writes.ITEMS)
-    same, errors = writes.ingest(Ledger.of(spark), batch, schema, 1)
-    assert same.claims.count() == 0 and sorted(r["error"] for r in errors.collect()) == ["not one of the enum", "pattern not met", "unknown predicate", "wrong number of arguments", "wrong type"]
-    assert writes.ingest(Ledger.of(spark), batch, schema, 1, "collect")[0].claims.count() == 1
+    batch = batch.coalesce(1)
+    part, errors = writes.ingest(Ledger.of(spark), batch, schema, 1)
+    assert part.claims.count() == 1 and [r["error"] for r in errors.collect()] == ["not one of the enum"]  # what came before it is in
+    good, errors = writes.ingest(Ledger.of(spark), batch, schema, 1, "collect")
+    assert good.claims.count() == 1 and sorted(r["error"] for r in errors.collect()) == ["not one of the enum", "pattern not met", "unknown predicate", "wrong number of arguments", "wrong type"]
+
+
+def kinds(ledger, e_ref=A, pred="color"):
+    return [r["v"] for r in views.active(ledger.claims, ledger.revocations).where((F.col("e_ref") == e_ref) & (F.col("pred_id") == pred)).orderBy("seq").select(F.col("args")[0]["value"].alias("v")).collect()]
+
+
+COLORS = Schema((USER,), extra=(PredicateSpec("color", ("entity_ref", "string")),))
+
+
+def test_later_items_win(spark):
+    for n in range(3):
+        values = [f"v{(k * 7 + n) % 40}" for k in range(40)]
+        batch = writes.Batch(COLORS)
+        for v in values:
+            batch.set("color", A, v)
+        batch.set("color", A, values[3])  # held already by an earlier item, so it is skipped
+        ledger = batch.apply(Ledger.of(spark), 1, 100)
+        got = ledger.claims.orderBy("seq").collect()
+        assert [r["args"][0]["value"] for r in got] == values
+        assert [r["op_ordinal"] for r in got] == list(range(40)) and [r["seq"] for r in got] == list(range(101, 141))
+        assert views.predicate_rows(ledger, COLORS["color"]).first()["a1"] == values[-1]
+        assert views.effective_meta(ledger, (1, 5)).where("key = 'ingest_key'").count() == 6
+
+
+def test_numbers_follow_the_order_across_ranges(spark):
+    df = spark.range(5000).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).repartition(7)
+    got = [(r["x"], r["_place"]) for r in writes.numbered(df, "x", 100).collect()]
+    assert [p for _, p in sorted(got)] == list(range(5000))
+
+
+def test_ingest_with_retractions(spark):
+    kind = f"{writes.ITEMS}, ordinal long, op string, asrt_id string"
+
+    def put(k, v, op="set", asrt=None):
+        return (*item("color", A, [{"tag": "string", "value": v}]), k, op, asrt)
+
+    one = writes.ingest(Ledger.of(spark), spark.createDataFrame([put(0, "red"), put(1, "blue"), put(2, "blue", "add"), put(3, "red")], kind), COLORS, 1)[0]
+    assert kinds(one) == ["red", "blue", "blue"]
+    red = one.claims.where("args[0].value = 'red'").first()["asrt_id"]
+    again, errors = writes.ingest(one, spark.createDataFrame([put(0, "red"), put(1, None, "retract", red), put(2, "red"), put(3, "green")], kind), COLORS, 2, first_seq=10)
+    assert errors.count() == 0 and kinds(again) == ["blue", "blue", "red", "green"]  # skipped, retracted, written anew
+    bad = [put(0, "x"), put(1, None, "retract", "nothing"), put(2, "y"), put(3, "z", "what")]
+    part, errors = writes.ingest(again, spark.createDataFrame(bad, kind), COLORS, 3)
+    assert [tuple(r) for r in errors.collect()] == [(1, "unknown assertion")] and "x" in kinds(part) and "y" not in kinds(part)
+    most, errors = writes.ingest(again, spark.createDataFrame(bad, kind), COLORS, 3, "collect")
+    assert rows(errors) == [(1, "unknown assertion"), (3, "unknown operation")] and {"x", "y"} <= set(kinds(most))
+
+
+def test_plans_for_entities(spark):
+    empty = Ledger.of(spark)
+    who = {"user_id": "u", "tenant_id": 4}
+    plan = writes.plan_entity(empty, SCHEMA, "DomainUser", who, {"name": "n", "tag": ["x", "y"]}, source="s")
+    assert plan.is_new and plan.error is None and len(plan.items) == len(USER.identity) + 3
+    one = plan.apply(empty, 1)
+    assert views.has_entity(one, SCHEMA, "DomainUser", **who) and not views.has_entity(one, SCHEMA, "DomainUser", user_id="u", tenant_id=5)
+    row = views.entity_of(one, SCHEMA, "DomainUser", **who).first()
+    assert (row["e_ref"], row["name"], row["tag"]) == (plan.e_ref, "n", ["x", "y"])
+    more = writes.plan_entity(one, SCHEMA, "DomainUser", who, {"name": "m"})
+    assert not more.is_new and views.entity_of(more.apply(one, 2, 10), SCHEMA, "DomainUser", **who).first()["name"] == "m"
+    for plan in (writes.plan_entity(empty, SCHEMA, "DomainUser", who, create=False), writes.plan_entity(empty, SCHEMA, "DomainUser", {}), writes.plan_entity(empty, SCHEMA, "DomainUser", who, {"what": 1}), writes.plan_entity(empty, SCHEMA, "Nobody", who)):
+        assert plan.error
+        with pytest.raises(RuleError):
+            plan.apply(empty, 1)
+
+
+def test_accepting_many(spark):
+    c = spark.createDataFrame([("a", ["b"], None), ("b", [], None), ("c", ["d"], None), ("d", [], "bad value")], "candidate_key string, needs array<string>, error string")
+    items = spark.createDataFrame([(*item("color", A, [{"tag": "string", "value": k}]), k) for k in "abcd"], f"{writes.ITEMS}, candidate_key string")
+    some, report = writes.accept_many(Ledger.of(spark), c, items, 1, "best_effort")
+    assert kinds(some) == ["b", "a"]
+    assert {r["candidate_key"]: r["status"] for r in report.collect()} == {"a": "ACCEPTED", "b": "ACCEPTED", "c": "BLOCKED_DEPENDENCY", "d": "FAILED_VALIDATION"}
+    none, report = writes.accept_many(Ledger.of(spark), c, items, 1)
+    assert kinds(none) == [] and {r["error"] for r in report.collect()} == {"ATOMIC_ROLLBACK", "BLOCKED_DEPENDENCY", "bad value"}
+    assert kinds(writes.accept_many(Ledger.of(spark), c.where("candidate_key < 'c'"), items, 1)[0]) == ["b", "a"]
+
+
+def test_two_writers_meet(spark, tmp_path):
+    """Writers that have all seen a free name try to take it at once; one gets it."""
+    files = shared.Files(spark, str(tmp_path))
+    told = threading.Barrier(6)
+    got = []
+
+    def write(k):
+        told.wait()
+        got.append((files.create(f"{tmp_path}/name", str(k)), str(k)))
+
+    writers = [threading.Thread(target=write, args=(k,)) for k in range(6)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert [k for ok, k in got if ok] == [files.read(f"{tmp_path}/name")] and files.names(str(tmp_path)) == ["name"]
+
+
+def test_commits_of_two_writers(spark, tmp_path, monkeypatch):
+    ws = store.Workspace.create(spark, str(tmp_path / "ws"), "digest")
+    other = store.Workspace(spark, str(tmp_path / "ws"))
+    claims = spark.createDataFrame(CLAIM_ROWS[:2], CLAIMS)
+    state = store.Workspace._state
+
+    def enters(self, *a):  # the other writer commits after this one has read the head and written its rows
+        monkeypatch.setattr(store.Workspace, "_state", state)
+        other.commit({"claims": claims}, 0)
+        return state(self, *a)
+
+    monkeypatch.setattr(store.Workspace, "_state", enters)
+    with pytest.raises(store.HeadMoved):
+        ws.commit({"claims": claims}, 0)
+    assert ws.head()["tx"] == 1 and ws.ledger().claims.count() == 2 and ws.verify()
+
+
+def test_no_temporary_folder_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        conf, sparkContext = {}, Cluster()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.work_dir(Session())
 
 
 def test_accepting(spark):
@@ -345,12 +472,21 @@ def test_relation_paths(spark):
 # uncertainty and time
 
 
+def inclusion_exclusion(proofs, p):
+    """The same probability by inclusion and exclusion, for few proofs."""
+    total = 0.0
+    for n in range(1, len(proofs) + 1):
+        for some in combinations(proofs, n):
+            total += (-1) ** (n + 1) * prod(p[f] for f in frozenset().union(*some))
+    return total
+
+
 def test_exact_probability_of_shared_proofs():
     rng = random.Random(2)
     for _ in range(60):
         p = {k: rng.random() for k in "abcdefg"}
         proofs = [frozenset(rng.sample("abcdefg", rng.randrange(1, 4))) for _ in range(rng.randrange(1, 7))]
-        assert uncertain.disjunction(proofs, p) == pytest.approx(uncertain.inclusion_exclusion(proofs, p))
+        assert uncertain.disjunction(proofs, p) == pytest.approx(inclusion_exclusion(proofs, p))
     p, group = {"x1": 0.2, "x2": 0.5, "y": 0.3}, {"x1": "x", "x2": "x"}
     assert uncertain.disjunction([frozenset(["x1"]), frozenset(["x2"])], p, group) == pytest.approx(0.7)
     assert uncertain.disjunction([frozenset(["x1", "x2"])], p, group) == pytest.approx(0.0)
@@ -388,6 +524,34 @@ def test_probability_of_a_rule(spark):
         scenario.apply_scenario(facts, [], p=2)
 
 
+def test_branches_with_chances_of_their_own(spark):
+    edge = spark.createDataFrame([("a", "b", "e1", 0.5), ("a", "c", "e2", 1.0), ("d", "b", "e3", 1.0)], "a0 string, a1 string, _asrt string, _p double")
+    facts = FactSpace(spark, {"edge": edge, "sure": spark.createDataFrame([("a",)], "a0 string")})
+    body = [[("pred", "edge", ["$x", "$y"])], [("pred", "sure", ["$x"])]]
+    got = {r["x"]: r["p"] for r in uncertain.rule_probability(facts, body, ["$x"], case_probabilities=[0.4, 0.25]).collect()}
+    # a chance per binding of the first branch, one of the second
+    assert got == pytest.approx({"a": 1 - (1 - 0.5 * 0.4) * (1 - 0.4) * (1 - 0.25), "d": 0.4})
+    assert {r["p"] for r in uncertain.rule_probability(facts, body[:1], ["$x"]).collect()} == {1.0}
+    for bad in ([0.5], [0.5, 0.0], [0.5, 1.5], [True, 0.5]):
+        with pytest.raises(RuleError):
+            uncertain.rule_probability(facts, body, ["$x"], case_probabilities=bad)
+
+
+def test_interval_rules_over_several_atoms(spark):
+    def table(rows, n):
+        return spark.createDataFrame(rows, ", ".join(f"a{k} string" for k in range(n)) + ", lo double, hi double, from int, to int")
+
+    facts = {"friend": table([("j", "m", 1.0, 1.0, 0, None), ("z", "m", 0.6, 0.9, 0, None), ("j", "z", 0.0, 0.2, 0, None)], 2), "popular": table([("m", 1.0, 1.0, 0, 1)], 1), "cat": table([("z", 1.0, 1.0, 0, None)], 1)}
+    rule = uncertain.IntervalClause("popular", ("$x",), [[("pred", "popular", ["$y"]), ("pred", "friend", ["$x", "$y"])], [("pred", "cat", ["$x"]), ("pred", "popular", ["j"])]], (1.0, 1.0), {1: (0.3, 0.8)}, {"friend": (0.7, 1.0)})
+    got = uncertain.interval_program(facts, [rule], 3)["popular"]
+    assert rows(got) == [("j", 1.0, 1.0, 1), ("z", 0.3, 0.8, 2)]
+    wide = uncertain.IntervalClause("popular", ("$x",), rule.where, (0.5, 1.0), None, {"friend": (0.5, 1.0)}, 2)
+    assert rows(uncertain.interval_program(facts, [wide], 3)["popular"]) == [("j", 0.5, 1.0, 2), ("z", 0.5, 1.0, 2)]
+    assert rows(uncertain.interval_program(facts, [wide], 1)["popular"]) == []
+    with pytest.raises(RuleError):
+        uncertain.interval_program(facts, [uncertain.IntervalClause("x", ("$x",), [("pred", "cat", ["$x"]), ("ne", "$x", "a")])], 1)
+
+
 def test_fact_probability(spark):
     facts = spark.createDataFrame([(x,) for x in "abcde"], "asrt_id string")
     notes = spark.createDataFrame([("a", "problog", "probability", "num", "0.2", 1), ("a", "shared", "probability", "num", "0.9", 2), ("b", "shared", "probability", "num", "0.4", 1), ("b", "shared", "probability", "num", "0.6", 2), ("c", "shared", "bound", "json", "[0.2,0.4]", 1), ("e", "problog", "probability", "bool", "true", 1)], "asrt_id string, namespace string, key string, kind string, value string, seq int").withColumn("category", F.lit("semantic"))
@@ -480,7 +644,7 @@ def test_staged_batches(spark):
     assert [r["status"] for r in batch.preview(empty).collect()] == ["write", "write"]
     one = batch.apply(empty, 1)
     assert one.claims.count() == 2
-    assert {r["status"] for r in batch.preview(one).collect()} == {"skip"}
+    assert [r["status"] for r in batch.preview(one).collect()] == ["skip", "write"]  # an added value is written again
     gone = writes.Batch(SCHEMA).retract(one.claims.first()["asrt_id"]).apply(one, 2)
     assert views.active(gone.claims, gone.revocations).count() == 1
     for bad in (lambda: batch.set("domain_user:name", A), lambda: batch.set("domain_user:name", A, "n", what="x"), lambda: writes.Batch.from_json(batch.to_json(), Schema())):
