@@ -2,40 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
 from .functions.encoding import entity_ref_column
-from .operators import evidence, paths, uncertain, views, writes
+from .operators import evidence, paths, uncertain, views
 from .plans import explain, rules, scenario
 from .plans.compile import FactSpace, evaluate
+from .registry import ORACLE_SQL, QUERIES, evts, query, table
 from .schema import Entity, Schema
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 KEYS = {"customer": "c_custkey", "nation": "n_nationkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with the SQL that gives the same rows."""
-
-    def put(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return put
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
 def facts(spark: SparkSession, sf: str) -> FactSpace:
@@ -43,10 +25,6 @@ def facts(spark: SparkSession, sf: str) -> FactSpace:
     return FactSpace.from_tables(spark, {t: table(spark, sf, t) for t in TABLES}, KEYS)
 
 
-def evts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
-
-
 # predicates, filters, arithmetic
 
 
@@ -293,32 +271,6 @@ def valid_at(spark, sf):
     return views.valid_at(rows, "1996-06-15").select("o_orderkey")
 
 
-def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source", "lang")
-
-
-@query("SELECT doc_id FROM documents WHERE source IS NULL OR source NOT IN ('src0', 'src3')")
-def premise_exclusion(spark, sf):
-    return views.admissible(_docs(spark, sf), [views.MetaExclusion("source", ("src0", "src3"))]).select("doc_id")
-
-
-@query("SELECT doc_id FROM documents WHERE lang IN ('en', 'de')")
-def premise_allow(spark, sf):
-    return views.admissible(_docs(spark, sf), [views.PremiseAllowance("doc", "lang", ("en", "de"))]).select("doc_id")
-
-
-@query("SELECT doc_id FROM documents WHERE (lang IS NULL OR lang <> 'fr') AND (source IS NULL OR source <> 'src1')")
-def premise_block(spark, sf):
-    return views.admissible(_docs(spark, sf), [views.PremiseBlock("doc", "lang", ("fr",)), views.MetaExclusion("source", ("src1",))]).select("doc_id")
-
-
-@query()
-def entity_domain(spark, sf):
-    """Customers whose reference hashes from their identity; ids are hashes, so SQL has no equal."""
-    c = table(spark, sf, "customer").select("c_custkey", "c_name")
-    return c.select("c_custkey", entity_ref_column("Customer", [("key", "int"), ("name", "string")], F.col("c_custkey"), F.col("c_name")).alias("e_ref"))
-
-
 @query("""SELECT c_custkey, c_mktsegment, coalesce(list_sort(list(DISTINCT o_orderkey)), []) AS orders FROM customer JOIN orders ON o_custkey = c_custkey
 GROUP BY c_custkey, c_mktsegment HAVING list_contains(list(o_orderkey), 10)""")
 def entity_find_pivot(spark, sf):
@@ -473,9 +425,62 @@ def variant_compare(spark, sf):
 CASES = [[("pred", "customer:c_acctbal", ["$c", "$b"]), ("gt", "$b", 5000)], [("pred", "customer:c_nationkey", ["$c", "$n"]), ("lt", "$n", 10)]]
 
 
-@query("SELECT c_custkey AS c, CASE WHEN c_acctbal > 5000 THEN 0 ELSE 1 END AS \"case\" FROM customer WHERE c_acctbal > 5000 OR c_nationkey < 10")
+def _signed(spark, sf) -> FactSpace:
+    """Balances and nations of customers as assertions with ids."""
+    c = table(spark, sf, "customer")
+    return FactSpace(spark, {
+        "customer:c_acctbal": c.select("c_custkey", "c_acctbal", F.concat(F.lit("b"), "c_custkey").alias("_asrt")),
+        "customer:c_nationkey": c.select("c_custkey", "c_nationkey", F.concat(F.lit("n"), "c_custkey").alias("_asrt")),
+    })
+
+
+@query("""SELECT c_custkey AS c, CASE WHEN c_acctbal > 5000 THEN 0 ELSE 1 END AS "case", 0 AS condition,
+CASE WHEN c_acctbal > 5000 THEN 'customer:c_acctbal' ELSE 'customer:c_nationkey' END AS predicate,
+CASE WHEN c_acctbal > 5000 THEN 'b' ELSE 'n' END || c_custkey AS assertion FROM customer WHERE c_acctbal > 5000 OR c_nationkey < 10""")
 def witness_first_branch(spark, sf):
-    return explain.witnesses(facts(spark, sf), CASES, ["$c"]).select("c", "case")
+    return explain.explain_columns(explain.witnesses(_signed(spark, sf), CASES, ["$c"])).select("c", "case", "condition", "predicate", "assertion")
+
+
+@query("""SELECT c_custkey AS c, CASE WHEN c_acctbal > 5000 AND c_nationkey < 10 THEN '0,1' WHEN c_acctbal > 5000 THEN '0' ELSE '1' END AS cases
+FROM customer WHERE c_acctbal > 5000 OR c_nationkey < 10""")
+def witness_all_branches(spark, sf):
+    got = explain.witnesses(_signed(spark, sf), CASES, ["$c"], first=False)
+    return got.withColumn("cases", F.array_join("cases", ","))
+
+
+@query("""SELECT c_custkey AS c, CASE WHEN c_acctbal > 5000 THEN 0 ELSE 1 END AS "case", NOT (c_acctbal > 5000 AND c_custkey % 3 = 0) AS stands FROM customer WHERE c_acctbal > 5000 OR c_nationkey < 10""")
+def recheck_lost_assertions(spark, sf):
+    space = _signed(spark, sf)
+    found = explain.witnesses(space, CASES, ["$c"])
+    less = space.with_relations({"customer:c_acctbal": space["customer:c_acctbal"].where("c_custkey % 3 <> 0")})
+    return explain.recheck(found, less).drop("witnesses")
+
+
+@query("""SELECT c, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' WHEN old = new THEN 'same' ELSE 'changed' END AS change FROM
+(SELECT c_custkey AS c, CASE WHEN c_acctbal > 5000 THEN 'b' WHEN c_nationkey < 10 THEN 'n' END AS old,
+CASE WHEN c_acctbal > 5000 AND c_custkey % 3 <> 0 THEN 'b' WHEN c_nationkey < 10 THEN 'n' END AS new FROM customer) WHERE old IS NOT NULL OR new IS NOT NULL""")
+def proof_changes(spark, sf):
+    space = _signed(spark, sf)
+    less = space.with_relations({"customer:c_acctbal": space["customer:c_acctbal"].where("c_custkey % 3 <> 0")})
+    before, after = (explain.witnesses(s, CASES, ["$c"]).drop("case") for s in (space, less))
+    return explain.proof_diff(before, after, ["c"])
+
+
+@query("""SELECT n, name, CASE WHEN n % 5 = 0 THEN 'removed' END AS change FROM (SELECT n_nationkey AS n, n_name AS name, n_regionkey AS r FROM nation) WHERE false
+UNION ALL SELECT n_nationkey, n_name, 'removed' FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_nationkey, n_name, 'added' FROM nation WHERE n_regionkey = 3 AND n_nationkey > 5""")
+def rule_variant_changes(spark, sf):
+    body = [("pred", "nation:n_regionkey", ["$n", 1]), ("pred", "nation:n_name", ["$n", "$name"])]
+    variant = scenario.add_conditions(scenario.replace_literal(body, 0, 0, 1, 3), {0: [("gt", "$n", 5)]})
+    return scenario.compare_rule(facts(spark, sf), body, variant, ["$n", "$name"])
+
+
+@query("""SELECT (SELECT count(*) FROM nation WHERE n_regionkey = 1) > 0 AS some, (SELECT count(*) FROM nation WHERE n_regionkey = 1) = 5 AS five,
+(SELECT count(*) FROM nation WHERE n_regionkey = 1 AND n_nationkey IN (1, 2)) = 2 AS has, false AS exactly""")
+def expectations_of_a_rule(spark, sf):
+    got = evaluate(facts(spark, sf), [("pred", "nation:n_regionkey", ["$n", 1])], ["$n"])
+    some = table(spark, sf, "nation").where("n_nationkey IN (1, 2)").select(F.col("n_nationkey").alias("n"))
+    answers = (scenario.expect(got, "exists"), scenario.expect(got, "count_eq", 5), scenario.expect(got, "contains", some), scenario.expect(got, "set_equals", some))
+    return spark.createDataFrame([answers], "some boolean, five boolean, has boolean, exactly boolean")
 
 
 @query("""SELECT c_custkey AS c, CASE WHEN c_acctbal > 5000 OR c_nationkey < 10 THEN 'passed' ELSE 'failed' END AS status,
@@ -490,28 +495,10 @@ def frontier_counts(spark, sf):
     return explain.frontier(facts(spark, sf), CASES)
 
 
-@query("SELECT CASE WHEN c_acctbal > 5000 OR c_nationkey < 10 THEN 'passed' ELSE 'failed' END AS status FROM customer WHERE c_custkey = 7")
+@query("""SELECT CASE WHEN c_acctbal > 5000 OR c_nationkey < 10 THEN 'passed' ELSE 'failed' END AS status, CASE WHEN c_acctbal > 5000 THEN 0 WHEN c_nationkey < 10 THEN 1 ELSE 0 END AS "case",
+CASE WHEN c_acctbal > 5000 OR c_nationkey < 10 THEN NULL ELSE 1 END AS failed_condition, CASE WHEN c_acctbal > 5000 OR c_nationkey < 10 THEN 2 ELSE 1 END AS held FROM customer WHERE c_custkey = 7""")
 def diagnose_binding(spark, sf):
-    return explain.diagnose(facts(spark, sf), CASES, {"$c": 7}).select("status")
-
-
-# writes
-
-
-@query("SELECT DISTINCT user_id, event_type FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id < 50)")
-def ingest_idempotent(spark, sf):
-    e = evts(spark, sf)
-    key = F.concat_ws("/", "user_id", "event_type")
-    batch = e.union(e).select("user_id", "event_type", key.alias("ingest_key"))
-    seen = e.where("event_id < 50").select("user_id").distinct().join(e.select("user_id", "event_type").distinct(), "user_id").select(key.alias("ingest_key"))
-    return writes.new_only(batch, seen).select("user_id", "event_type")
-
-
-@query("""SELECT DISTINCT user_id::VARCHAR || '/' || event_type AS candidate_key,
-CASE WHEN event_type = 'click' THEN 'duplicate' ELSE 'new' END AS status FROM events""")
-def accept_dedup(spark, sf):
-    rows = evts(spark, sf).select("event_type", F.concat_ws("/", "user_id", "event_type").alias("candidate_key"))
-    return writes.accept(rows, rows.where("event_type = 'click'"))[1]
+    return explain.diagnose(facts(spark, sf), CASES, {"$c": 7})
 
 
 # functions
@@ -560,13 +547,61 @@ def interval_fixpoint(spark, sf):
     return uncertain.interval_fixpoint(start, edges, rs, 6)
 
 
-@query("""WITH x AS (SELECT o_custkey, o_orderkey, product(CASE WHEN l_quantity > 25 THEN 0.5 ELSE 0.25 END) AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
-SELECT o_custkey, round(1 - product(1 - q), 9) AS p FROM x GROUP BY o_custkey""")
+@query("""WITH l AS (SELECT o_custkey, o_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 0.5 ELSE 0.25 END AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+x AS (SELECT o_custkey, o_orderkey, product(p) AS q FROM l GROUP BY ALL), y AS (SELECT o_custkey, 1 - product(1 - q) AS p FROM x GROUP BY o_custkey)
+SELECT o_custkey, round(CASE WHEN o_custkey % 2 = 0 THEN 0.5 ELSE 1 END * p, 9) AS p FROM y""")
 def prob_independent_or(spark, sf):
+    """Proofs per order; those of every second customer also share one uncertain fact, so the exact solver counts them."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.monotonically_increasing_id().cast("string").alias("fact"))
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
     proofs = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.col("o_orderkey").alias("proof"), "fact", F.when(F.col("l_quantity") > 25, 0.5).otherwise(0.25).alias("p"))
-    return uncertain.answer_probability(proofs, ["o_custkey"]).withColumn("p", F.round("p", 9))
+    common = orders.where("o_custkey % 2 = 0").join(proofs.select(F.col("proof").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi")
+    common = common.select("o_custkey", F.col("o_orderkey").alias("proof"), F.concat(F.lit("c"), "o_custkey").alias("fact"), F.lit(0.5).alias("p"))
+    return uncertain.answer_probability(proofs.unionByName(common), ["o_custkey"]).withColumn("p", F.round("p", 9))
+
+
+@query("""WITH x AS (SELECT c_custkey AS c, 1 - (CASE WHEN c_acctbal > 5000 THEN 1 - 0.5 * 0.8 ELSE 1 END) * (CASE WHEN c_nationkey < 10 THEN 1 - 0.25 ELSE 1 END) AS p FROM customer)
+SELECT c, round(p, 9)::DOUBLE AS p FROM x WHERE p > 0""")
+def prob_branch_chances(spark, sf):
+    space = _signed(spark, sf)
+    unsure = space["customer:c_acctbal"].withColumn("_p", F.lit(0.8))
+    space = space.with_relations({"customer:c_acctbal": unsure})
+    return uncertain.rule_probability(space, CASES, ["$c"], case_probabilities=[0.5, 0.25]).withColumn("p", F.round("p", 9))
+
+
+@query("""SELECT event_id::VARCHAR AS asrt_id, CASE WHEN event_id % 4 = 0 THEN 0.9 WHEN event_id % 4 = 1 THEN 0.3 WHEN event_id % 4 = 2 THEN 0.5 ELSE 1.0 END::DOUBLE AS p FROM events""")
+def fact_probabilities(spark, sf):
+    """Own namespace over the shared one, the last event of each; else the middle of a bound; else 1."""
+    e = evts(spark, sf).select(F.col("event_id"), F.col("event_id").cast("string").alias("asrt_id"))
+
+    def said(rows, namespace, key, value, seq, kind="float"):
+        return rows.select("asrt_id", F.lit(namespace).alias("namespace"), F.lit("semantic").alias("category"), F.lit(key).alias("key"), F.lit(kind).alias("kind"), F.lit(value).alias("value"), F.lit(seq).alias("seq"))
+
+    zero, one, two = (e.where(F.col("event_id") % 4 == k) for k in range(3))
+    parts = [said(zero, "shared", "probability", "0.1", 9), said(zero, "problog", "probability", "0.2", 1), said(zero, "problog", "probability", "0.9", 2), said(one, "shared", "probability", "0.3", 1), said(one, "other", "probability", "0.7", 5), said(one, "problog", "probability", "true", 7, "bool"), said(two, "shared", "bound", "[0.4, 0.6]", 1)]
+    return uncertain.fact_probability(e.select("asrt_id"), reduce(DataFrame.unionByName, parts), "midpoint")
+
+
+@query("""SELECT c_custkey, (c_custkey % 5) / 10.0::DOUBLE AS lower, (c_custkey % 7 + 5) / 12.0::DOUBLE AS upper, ((c_custkey % 5) / 10.0::DOUBLE + (c_custkey % 7 + 5) / 12.0::DOUBLE) / 2 AS midpoint,
+CASE WHEN (c_custkey % 5) / 10.0::DOUBLE = (c_custkey % 7 + 5) / 12.0::DOUBLE THEN (c_custkey % 5) / 10.0::DOUBLE ELSE 0.75 END AS identity_probability FROM customer""")
+def bounds_as_points(spark, sf):
+    low, high = (F.col("c_custkey") % 5) / 10, (F.col("c_custkey") % 7 + 5) / 12
+    cols = [uncertain.point_of_bound(low, high, how, 0.75).alias(how) for how in ("lower", "upper", "midpoint", "identity_probability")]
+    return table(spark, sf, "customer").select("c_custkey", *cols)
+
+
+@query("""WITH RECURSIVE s(n, k) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey < 3 UNION ALL SELECT n + 3, k + 1 FROM s JOIN nation ON n_nationkey = n + 3 AND n_regionkey <> 2 WHERE k < 5)
+SELECT n::INTEGER AS a0, 0.6::DOUBLE AS lo, 1.0::DOUBLE AS hi, k AS step FROM s WHERE k > 0""")
+def interval_program_two_atoms(spark, sf):
+    """Reached from three nations on, over edges that are sure enough, into nations of some regions."""
+    n = table(spark, sf, "nation")
+    sure = [F.lit(1.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit(0).alias("from"), F.lit(None).cast("int").alias("to")]
+    edges = n.select(F.col("n_nationkey").alias("a0"), (F.col("n_nationkey") + 3).cast("int").alias("a1"), F.lit(0.8).alias("lo"), F.lit(0.9).alias("hi"), *sure[2:])
+    weak = n.select(F.col("n_nationkey").alias("a0"), (F.col("n_nationkey") + 1).cast("int").alias("a1"), F.lit(0.3).alias("lo"), F.lit(0.9).alias("hi"), *sure[2:])
+    given = {"edge": edges.union(weak), "open": n.where("n_regionkey <> 2").select(F.col("n_nationkey").alias("a0"), *sure), "on": n.where("n_nationkey < 3").select(F.col("n_nationkey").alias("a0"), *sure)}
+    body = [("pred", "on", ["$x"]), ("pred", "edge", ["$x", "$y"]), ("pred", "open", ["$y"])]
+    rule = uncertain.IntervalClause("on", ("$y",), body, (0.6, 1.0), None, {"on": (0.5, 1.0), "edge": (0.7, 1.0)})
+    return uncertain.interval_program(given, [rule], 5)["on"]
 
 
 @query("SELECT s AS o_custkey, round(sum(w), 9) AS p FROM (SELECT DISTINCT o_custkey AS s, o_orderkey % 3 AS arm, CASE o_orderkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.3 ELSE 0.2 END::DOUBLE AS w FROM orders) GROUP BY s")
@@ -581,3 +616,8 @@ def flagship(spark, sf):
     """Customers of a segment with three orders or more."""
     body = [("pred", "customer", ["$c", "$name", "$k", "$b", "BUILDING"]), ("eq", "$n", ("count", None, ORDERS_OF)), ("ge", "$n", 3)]
     return evaluate(facts(spark, sf), body, ["$c", "$n"])
+
+
+from . import ledger_queries  # noqa: E402,F401  (registers its own)
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
