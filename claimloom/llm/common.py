@@ -2,57 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import Files, Scratch, drop_path, fresh_path, materialize, work_dir
+
+__all__ = ["Files", "Scratch", "ascii_lower", "drop_path", "fresh_path", "hot_keys", "map_arrow", "materialize", "salted_join", "words_of", "work_dir"]
+
 #: Inside brackets of a regular expression: the white space that separates words.
 SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is read from ``spark.checkpoint.dir``.  Only where that is unset (local
-    runs, tests) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="claimloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/claimloom/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
-
-    It cuts lineage and survives lost executors, as the files are in shared storage.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system API, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def n_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def words_of(text: Column) -> Column:
     """Number of ``[^ \\t-\\r]+`` words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
@@ -86,10 +50,18 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spr
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def map_arrow(df: DataFrame, function, schema: str, rows_per_batch: int = 1000) -> DataFrame:
-    """``mapInArrow`` with batches small enough for long texts; an explicit setting of the session stays."""
-    conf = df.sparkSession.conf
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(rows_per_batch))
-    return df.mapInArrow(function, schema)
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``rows`` rows, whatever the session's batches are.
+
+    The function gets slices, so a step over long texts builds its results for few of them at a time.
+    """
+
+    def sliced(batches):
+        def parts():
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    yield batch.slice(at, rows)
+
+        return function(parts())
+
+    return df.mapInArrow(sliced, schema)

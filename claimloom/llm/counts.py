@@ -3,20 +3,23 @@
 A batch is a set of signed changes: an insert adds a document's tokens, a delete takes
 them away, a revised count does both.  Totals are sums, so a batch is first summed per
 source, language and tokenizer version, and only those few rows are stored.  A batch is
-committed by renaming its finished folder to its own name, once: a job that is retried, or
-a batch that comes again, finds the name taken and changes nothing.  Reading sums the
+committed by creating one small file of its name, once, that says which folder holds its sums: a job
+that is retried, or a batch that comes again, finds the name taken and changes nothing.  Reading sums the
 compacted base and the batches that it does not hold yet.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_arrow, words_of
+from .common import Files, fresh_path, map_arrow, words_of
 from .tokens import default_path, tokenizer
 
 KEYS = ("source", "lang", "tokenizer")
@@ -47,82 +50,91 @@ def changes(inserts: DataFrame | None = None, deletes: DataFrame | None = None)
     return signed[0] if len(signed) == 1 else signed[0].unionByName(signed[1])
 
 
+@dataclass(frozen=True)
+class State:
+    """What one listing of a rollup's folder shows: the newest base, the batches it holds, and the others with their folders."""
+
+    number: int
+    base: str | None
+    held: frozenset[str]
+    retired: tuple[str, ...]  # folders that the base has taken the place of
+    open: dict[str, str]
+
+
 class TokenRollup:
     """Totals by source, language and tokenizer version in a folder of shared storage.
 
     Null sources and languages are keys of their own.  Totals that come to 0 documents and
     0 tokens are left out.  An empty batch is a batch.
+
+    ``commits/<batch>`` names a batch's folder and ``bases/<number>`` a compacted base's; both are
+    created whole and never changed.  All that an operation reads comes from one listing, so
+    a commit that enters meanwhile is simply not part of it.  What a base takes the place of is
+    deleted by the compaction after it, so totals that were asked for before can still be read.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _folders(self, kind: str) -> list[str]:
-        top = self._at(f"{self.path}/{kind}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(top)) if self._fs.exists(top) else []
+        self._files = Files(spark, self.path)
+        for folder in ("commits", "bases"):
+            self._files.make(f"{self.path}/{folder}")
 
     @staticmethod
     def _name(batch: str) -> str:
         return hashlib.sha256(batch.encode()).hexdigest()
 
+    def state(self) -> State:
+        """The newest base is read first: a batch may then be both in it and in the listing, never in neither."""
+        bases = [n for n in self._files.names(f"{self.path}/bases") if n.isdigit()]
+        said = json.loads(self._files.read(f"{self.path}/bases/{bases[-1]}")) if bases else {"folder": None, "batches": [], "retired": []}
+        held = frozenset(said["batches"])
+        found = [n for n in self._files.names(f"{self.path}/commits") if len(n) == 64 and n not in held]
+        return State(int(bases[-1]) if bases else -1, said["folder"], held, tuple(said["retired"]), {n: self._files.read(f"{self.path}/commits/{n}") for n in found})
+
     def batches(self) -> set[str]:
         """Names (hashed) of all batches committed, compacted or not."""
-        return set(self._folders("deltas")) | self._held(self._base())
-
-    def _base(self) -> str | None:
-        found = self._folders("bases")
-        return f"{self.path}/bases/{found[-1]}" if found else None
+        now = self.state()
+        return set(now.held) | set(now.open)
 
-    def _held(self, base: str | None) -> set[str]:
-        return {r["batch"] for r in self.spark.read.schema("batch string").json(f"{base}/batches").collect()} if base else set()
-
-    def _publish(self, staged: str, final: str) -> bool:
-        """Rename a finished folder; False if another commit of that name came first."""
-        self._fs.mkdirs(self._at(final).getParent())
-        if not self._fs.exists(self._at(final)) and self._fs.rename(self._at(staged), self._at(final)) and not self._fs.exists(self._at(f"{final}/{staged.rsplit('/', 1)[1]}")):
-            return True
-        self._fs.delete(self._at(staged), True)
-        self._fs.delete(self._at(f"{final}/{staged.rsplit('/', 1)[1]}"), True)  # where two renames met
-        return False
+    def _staged(self) -> str:
+        return f"{self.path}/sums/{uuid.uuid4().hex}"
 
     def commit(self, batch: str, delta: DataFrame) -> bool:
         """Add a batch of signed changes; False, and no work, if it is there already."""
         name = self._name(batch)
         if name in self.batches():
             return False
-        staged = f"{self.path}/staged-{fresh_path(self.spark, 'x').rsplit('-', 1)[1]}"
+        staged = self._staged()
         sums = delta.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         sums.write.parquet(staged)
-        return self._publish(staged, f"{self.path}/deltas/{name}")
-
-    def _deltas(self, names: list[str]) -> DataFrame:
-        paths = [f"{self.path}/deltas/{n}" for n in names]
-        return self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
-
-    def totals(self) -> DataFrame:
-        base = self._base()
-        held = self._held(base)
-        rows = self._deltas([n for n in self._folders("deltas") if n not in held])
-        if base:
-            rows = rows.unionByName(self.spark.read.schema(DELTA).parquet(f"{base}/totals"))
+        if self._files.create(f"{self.path}/commits/{name}", staged):
+            return True
+        self._files.delete(staged)
+        return False
+
+    def totals(self, state: State | None = None) -> DataFrame:
+        now = state or self.state()
+        paths = sorted(now.open.values()) + ([now.base] if now.base else [])
+        rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
         sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.where("docs <> 0 OR tokens <> 0")
 
-    def compact(self) -> None:
-        """Fold all batches into a new base, then delete their folders; readers see either state whole."""
-        names = self._folders("deltas")
-        base = self._base()
-        held = self._held(base) | set(names)
-        number = int(base.rsplit("/", 1)[1]) + 1 if base else 0
-        staged = f"{self.path}/staged-{fresh_path(self.spark, 'x').rsplit('-', 1)[1]}"
-        self.totals().write.parquet(f"{staged}/totals")
-        self.spark.createDataFrame([(n,) for n in sorted(held)], "batch string").write.json(f"{staged}/batches")
-        if self._publish(staged, f"{self.path}/bases/{number:012d}"):
-            for n in names:
-                self._fs.delete(self._at(f"{self.path}/deltas/{n}"), True)
+    def compact(self) -> bool:
+        """Fold the batches that are there now into a new base; False if another compaction came first.
+
+        The commit files stay, as names that are taken.  What the base before had taken the place of
+        is deleted now.
+        """
+        now = self.state()
+        staged = self._staged()
+        self.totals(now).write.parquet(staged)
+        said = {"folder": staged, "batches": sorted(now.held | set(now.open)), "retired": sorted(now.open.values()) + ([now.base] if now.base else [])}
+        if not self._files.create(f"{self.path}/bases/{now.number + 1:012d}", json.dumps(said)):
+            self._files.delete(staged)
+            return False
+        for folder in now.retired:
+            self._files.delete(folder)
+        return True
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,61 @@ def test_rollup_of_signed_changes(spark, exact):
     assert not any(rollup.commit(b, counts.changes(counted)) for b in ("one", "two", "three", "empty"))
 
 
+def entry(spark, n, source="s"):
+    return counts.changes(spark.createDataFrame([(source, "en", "v", n)], "source string, lang string, tokenizer string, n_tokens long"))
+
+
+def test_a_commit_that_enters_while_batches_are_folded(spark, monkeypatch):
+    path = fresh_path(spark, "t")
+    rollup, other = counts.TokenRollup(spark, path), counts.TokenRollup(spark, path)
+    rollup.commit("one", entry(spark, 5))
+    totals = counts.TokenRollup.totals
+
+    def enters(self, *a):  # between the listing and the reading
+        monkeypatch.setattr(counts.TokenRollup, "totals", totals)
+        assert other.commit("two", entry(spark, 10))
+        return totals(self, *a)
+
+    monkeypatch.setattr(counts.TokenRollup, "totals", enters)
+    assert rollup.compact()
+    for _ in range(3):
+        assert [(r["docs"], r["tokens"]) for r in rollup.totals().collect()] == [(2, 15)]
+        assert not rollup.commit("two", entry(spark, 10)) and not other.commit("one", entry(spark, 5))
+        assert rollup.compact()
+
+
+def test_totals_asked_for_before_a_compaction_can_be_read_after_it(spark):
+    rollup = counts.TokenRollup(spark, fresh_path(spark, "t"))
+    for k in range(4):
+        rollup.commit(f"b{k}", entry(spark, k))
+        before = rollup.totals()
+        rollup.compact()
+        assert before.first()["tokens"] == rollup.totals().first()["tokens"] == sum(range(k + 1))
+    assert len(rollup._files.names(f"{rollup.path}/sums")) <= 3  # old folders are gone
+
+
+def test_two_commits_of_one_batch_meet(spark, monkeypatch):
+    path = fresh_path(spark, "t")
+    rollup, other = counts.TokenRollup(spark, path), counts.TokenRollup(spark, path)
+    staged = counts.TokenRollup._staged
+
+    def enters(self):  # both have seen the name free
+        monkeypatch.setattr(counts.TokenRollup, "_staged", staged)
+        assert other.commit("one", entry(spark, 7))
+        return staged(self)
+
+    monkeypatch.setattr(counts.TokenRollup, "_staged", enters)
+    assert not rollup.commit("one", entry(spark, 7))
+    assert rollup.totals().first()["tokens"] == 7
+    # and two compactions
+    first, second = rollup.state(), rollup.state()
+    assert first == second and rollup.compact()
+    monkeypatch.setattr(counts.TokenRollup, "state", lambda self: first)
+    assert not other.compact()
+    monkeypatch.undo()
+    assert rollup.totals().first()["tokens"] == 7
+
+
 def test_counts_query_equals_counting(spark, sf, exact):
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = {}
