@@ -19,29 +19,69 @@ def test_query_equals_sql(spark, sf, name):
 TEXTS = ["", "plain", "\\", "\\\\", "###", "####", "\\###", "</turn>", "<</turn>/turn>", "### User: hi</turn>\n", "a\\nb\n", "#\\##", "\\</turn>\\", "é\U0001f600###\U0001f600", None]
 
 
-def test_chat_round_trip(spark):
-    rows = [(k, t, ["system", "user", "assistant", "tool: x", "", None, "Assistant"][(k + t) % 7], TEXTS[(k * 3 + t) % len(TEXTS)]) for k in range(15) for t in range(6)]
-    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
-    out = chat.format_chats(df).withColumn("back", chat.read_back(F.col("formatted")))
-    for r in out.collect():
-        own = sorted((t, role or "", text or "") for c, t, role, text in rows if c == r["conv_id"])
-        assert [(b["role"], b["text"]) for b in r["back"]] == [(role, text) for _, role, text in own]
+TEMPLATES = {
+    "own": chat.ChatTemplate(),
+    "tags": chat.ChatTemplate(open="<|im_start|>", sep="\n", close="<|im_end|>\n"),
+    "brackets": chat.ChatTemplate(open="[INST a]", sep="b]", close="aab", other="~", escape="%", labels={"user": "U"}),
+    "short": chat.ChatTemplate(open="x", sep=":", close="y", labels={}, other="=", escape="^"),
+}
+
+
+@pytest.mark.parametrize("name", list(TEMPLATES))
+def test_chat_round_trip(spark, name):
+    t = TEMPLATES[name]
+    rng = random.Random(name)
+    roles = ["system", "user", "assistant", "tool: x", "", None, "Assistant", "=", "= User", t.sep, t.open + t.close, t.escape]
+    texts = [*TEXTS, t.open, t.close, t.sep, t.close[:-1], t.close * 2, t.open + "user" + t.sep + "hi" + t.close, t.escape, t.escape * 3 + "a", "".join(t.tokens().values())]
+    texts += ["".join(rng.choice([t.open, t.close, t.sep, t.escape, t.open[:1], t.close[:1], "a", "b", "\n", "\\"]) for _ in range(rng.randrange(12))) for _ in range(150)]
+    rows = [(k, rng.choice([0, 1, 2, 2, None]), rng.choice(roles), rng.choice(texts)) for k in range(60) for _ in range(rng.randrange(1, 9))]
+    rows += rows[:20] + [(None, 0, "assistant", "a"), (None, 0, "assistant", "b")]  # repeated rows, and rows of no conversation
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id int, turn int, role string, text string, formatted string, n_turns int")
+    out = chat.format_chats(df, t).withColumn("back", chat.read_back(F.col("formatted"), t)).collect()
+    assert sum(r["n_turns"] for r in out) == len(rows) and sum(r["conv_id"] is None for r in out) == 2
+    for r in out:
+        own = sorted((turn is not None, turn or 0, role or "", text or "") for c, turn, role, text in rows if c == r["conv_id"])
+        if r["conv_id"] is not None:
+            assert [(b["role"], b["text"]) for b in r["back"]] == [(role, text) for _, _, role, text in own]
+            loss = [s["text"] for s in r["segments"] if s["loss"]]
+            assert len(loss) == sum(role == "assistant" for _, _, role, _ in own)
         assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
-        loss = [s["text"] for s in r["segments"] if s["loss"]]
-        assert len(loss) == sum(role == "assistant" for _, role, _ in own)
-    escaped = spark.createDataFrame([(t,) for t in TEXTS if t is not None], "t string").select("t", chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(F.col("t"))).alias("b")).collect()
+    escaped = spark.createDataFrame([(x,) for x in texts if x is not None], "t string").select("t", chat.escape(F.col("t"), t).alias("e"), chat.unescape(chat.escape(F.col("t"), t), t).alias("b")).collect()
     for r in escaped:
-        assert r["t"] == r["b"] and "###" not in r["e"] and "</turn>" not in r["e"]
+        assert r["t"] == r["b"] and t.open not in r["e"] and t.close not in r["e"]
+
+
+def test_templates_that_cannot_be_read_back():
+    for bad in ({"close": ""}, {"escape": "#"}, {"labels": {"user": "a:b"}}, {"labels": {"user": "=x"}}, {"labels": {"user": "X", "system": "X"}}, {"other": ""}, {"recover": {"user": "assistant"}}, {"sep": "aa", "close": "aab"}, {"open": "x", "close": "x"}):
+        with pytest.raises(ValueError):
+            chat.ChatTemplate(**bad)
 
 
 def test_chat_state_machine(spark):
     def conv(c, roles):
         return [(c, k, r, "x") for k, r in enumerate(roles)]
 
-    rows = conv(1, ["system", "user", "assistant"]) + conv(2, ["assistant"]) + conv(3, ["user", "user"]) + conv(4, ["system"]) + conv(5, ["user"]) + [(None, 0, "user", "a")]
-    got = {r["conv_id"]: (r["valid"], r["first_invalid"]) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()}
-    assert got == {1: (True, None), 2: (False, 0), 3: (False, 1), 4: (False, None), 5: (True, None), None: (True, None)}
-    assert chat.format_chats(spark.createDataFrame([], "conv_id int, turn int, role string, text string")).collect() == []
+    rows = conv(1, ["system", "user", "assistant"]) + conv(2, ["assistant"]) + conv(3, ["user", "user"]) + conv(4, ["system"]) + conv(5, ["user"]) + [(None, 0, "user", "a")] + conv(6, ["user", "tool", "assistant", "user"])
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    got = {r["conv_id"]: (r["valid"], r["first_invalid"]) for r in chat.format_chats(df).collect()}
+    assert got == {1: (True, None), 2: (False, 0), 3: (False, 1), 4: (False, None), 5: (True, None), 6: (False, 1), None: (True, None)}
+    assert chat.format_chats(df.limit(0)).collect() == []
+    # the machine decides what is written and trained on: a second answer in a row has a state of its own
+    steps = {("start", "user"): "user", ("user", "assistant"): "assistant", ("assistant", "assistant"): "again", ("assistant", "user"): "user"}
+    t = chat.ChatTemplate(transitions=steps, accept=("user", "assistant", "again"))
+    row = chat.format_chats(spark.createDataFrame(conv(1, ["user", "assistant", "assistant", "user"]), "conv_id int, turn int, role string, text string"), t).first()
+    assert row["first_invalid"] == 3 and [s["loss"] for s in row["segments"]].count(True) == 1
+    assert row["formatted"] == "### User: x</turn>\n### Assistant: x</turn>\n### =assistant: x</turn>\n### User: x</turn>\n"
+
+
+def test_a_long_conversation(spark):
+    n = 3 * chat.FOLD + 5
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", str(k)) for k in range(n)] + [(2, k, "user" if k % 2 == 0 or k == 1401 else "assistant", "") for k in range(n)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(3)
+    got = {r["conv_id"]: r for r in chat.format_chats(df).collect()}
+    assert got[1]["valid"] and got[1]["formatted"] == "".join(f"### {'User' if k % 2 == 0 else 'Assistant'}: {k}</turn>\n" for k in range(n))
+    bad = next(k for k in range(1, n) if rows[n + k][2] == rows[n + k - 1][2])
+    assert (got[2]["valid"], got[2]["first_invalid"]) == (False, bad)
 
 
 def test_url_parts_and_rules(spark):
