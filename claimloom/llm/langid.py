@@ -23,7 +23,7 @@ ORDERS = (1, 2, 3)
 MAX_TRAIN_DOCS = 20_000
 MAX_MODEL_BYTES = 64 << 20
 UNDETERMINED = "und"
-#: Code points scored at once; longer texts are scored in several pieces.
+#: N-grams scored at once, by where they start; a longer text is scored in several windows that share their edges.
 WINDOW = 1 << 18
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -63,16 +63,24 @@ def gram_buckets(chars: np.ndarray, order: int, buckets: int = BUCKETS) -> np.nd
 def text_counts(text: str, buckets: int = BUCKETS) -> np.ndarray:
     """How often each bucket occurs in a whole text."""
     total = np.zeros(buckets + 1, np.int64)
-    for piece in _pieces(text):
+    for chars, n in _windows(text):
         for order in ORDERS:
-            total += np.bincount(gram_buckets(piece, order, buckets), minlength=buckets + 1)
+            total += np.bincount(gram_buckets(chars, order, buckets)[:n], minlength=buckets + 1)
     return total[:buckets]
 
 
-def _pieces(text: str):
-    """A text, framed by blanks, in windows.  A window ends in two blanks, so n-grams across windows are left out."""
-    for at in range(0, max(1, len(text)), WINDOW):
-        yield np.concatenate([np.uint32([32]), fold(text[at : at + WINDOW]), np.uint32([32, 32])])
+def _windows(text: str):
+    """(code points, how many n-grams start here) of a text between one blank and two, window by window.
+
+    A window looks on into the next by what its last n-grams take, so that windows have the n-grams of
+    the text as one piece, and no others.
+    """
+    more = max(ORDERS) - 1
+    length = len(text) + 3
+    for at in range(0, length, WINDOW):
+        end = min(at + WINDOW + more, length)
+        chars = np.concatenate([np.full(max(0, 1 - at), 32, np.uint32), fold(text[max(0, at - 1) : end - 1]), np.full(max(0, end - max(at, length - 2)), 32, np.uint32)])
+        yield chars, min(WINDOW, length - at)
 
 
 @dataclass
@@ -97,25 +105,29 @@ class NaiveBayes:
         scores = np.tile(self.prior, (len(texts), 1))
         letters = np.zeros(len(texts), bool)
         buckets = self.weights.shape[1] - 1
-        block: list[np.ndarray] = []
+        block: list[tuple[np.ndarray, int]] = []
         owner: list[int] = []
         size = 0
 
         def flush() -> None:
-            chars = np.concatenate(block)
-            starts = np.cumsum([0, *(len(b) for b in block[:-1])])
+            chars = np.concatenate([c for c, _ in block])
+            sizes = np.asarray([len(c) for c, _ in block])
+            starts = np.cumsum(sizes) - sizes
+            place = np.arange(len(chars)) - np.repeat(starts, sizes)
+            # an n-gram counts if it starts in its window and ends in its piece
+            own = place < np.repeat([n for _, n in block], sizes)
             who = np.asarray(owner)
-            np.logical_or.at(letters, who, np.add.reduceat((chars != 32).astype(np.int64), starts) > 0)
+            np.logical_or.at(letters, who, np.add.reduceat((own & (chars != 32)).astype(np.int64), starts) > 0)
             for order in ORDERS:
-                at = gram_buckets(chars, order, buckets)
+                at = np.where(own & (place <= np.repeat(sizes, sizes) - order), gram_buckets(chars, order, buckets), buckets)
                 for k, row in enumerate(self.weights):
                     np.add.at(scores[:, k], who, np.add.reduceat(row[at], starts))
 
         for i, text in enumerate(texts):
-            for piece in _pieces(text):
-                block.append(piece)
+            for window in _windows(text):
+                block.append(window)
                 owner.append(i)
-                size += len(piece)
+                size += len(window[0])
                 if size >= WINDOW:
                     flush()
                     block, owner, size = [], [], 0

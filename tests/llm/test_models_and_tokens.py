@@ -374,6 +374,32 @@ def test_language_id_edge_cases(spark):
     assert langid.identify(df.limit(0), model).collect() == []
 
 
+def plain_grams(text):
+    """Every n-gram of the whole text between its blanks, one by one."""
+    chars = [32, *(int(c) for c in langid.fold(text)), 32, 32]
+    total = np.zeros(langid.BUCKETS, np.int64)
+    for n in langid.ORDERS:
+        for k in range(len(chars) - n + 1):
+            if any(c != 32 for c in chars[k : k + n]):
+                total[langid.gram_buckets(np.asarray(chars[k : k + n], np.uint32), n)[0]] += 1
+    return total
+
+
+@pytest.mark.parametrize("extra", range(-4, 4))
+def test_texts_around_the_window_are_scored_whole(monkeypatch, extra):
+    monkeypatch.setattr(langid, "WINDOW", 64)
+    rng = random.Random(extra)
+    texts = ["".join(rng.choice("abcde ä1 ") for _ in range(k * 64 + extra)) for k in (1, 2, 5)] + ["", "a", "ab", "  ", "1"]
+    for t in texts:
+        assert (langid.text_counts(t) == plain_grams(t)).all()
+    model = langid.NaiveBayes(["x", "y"], np.random.default_rng(3).normal(size=(2, langid.BUCKETS + 1)), np.asarray([-0.5, -0.9]))
+    model.weights[:, -1] = 0
+    scores, letters = model.log_scores(texts)  # all in one batch: what stands beside a text changes nothing
+    for t, row, has in zip(texts, scores, letters, strict=True):
+        assert row == pytest.approx(model.prior + model.weights[:, :-1] @ plain_grams(t))
+        assert has == any(c.isalpha() for c in t)
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     n, have = docs.count(), docs
