@@ -24,8 +24,8 @@ from .tokens import default_path, tokenizer
 
 CAPACITY = 1024
 END_ID = 2
-#: Ranks are counted in so many parts per length, so a very common length is dealt over tasks.
-RANK_PARTS = 128
+#: Ranks are counted in parts of about so many pieces, so a very common length is dealt over tasks.
+PART_ROWS = 1 << 14
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -140,20 +140,23 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length``; other columns stay.
 
-    ``pieces`` is read three times: pass a written table.  Ranks follow doc_id and piece, so
-    reruns agree; equal rows are interchangeable.  An empty table gives an empty result.
+    ``pieces`` is read three times: pass a written table.  Ranks follow doc_id, piece and a hash of all
+    columns, so reruns agree; only rows equal in every column are interchangeable.  Pieces are dealt over
+    parts by that hash, so those with a null id spread too.  An empty table gives an empty result.
     """
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
-    dealt = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS)).cast("int"))
-    per = dealt.groupBy("length", "_part").agg(F.count("*").alias("n"))
-    # at most capacity rows come to the driver
-    counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    # at most capacity rows come to the driver, and as many go to the tasks
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     layout = Layout(plan(counts, capacity))
     sent = spark.sparkContext.broadcast(layout)  # its size depends on the capacity only
+    parts = spark.createDataFrame([(k, -(-n // PART_ROWS)) for k, n in counts.items()], "length long, _parts long")
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in pieces.schema if "map<" not in f.dataType.simpleString()])
+    dealt = pieces.withColumn("_tie", whole).join(F.broadcast(parts), "length").withColumn("_part", F.pmod("_tie", "_parts")).drop("_parts")
+    per = dealt.groupBy("length", "_part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = per.select("length", "_part", before.alias("_base"))
-    own = F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "_tie")) - 1
     ranked = dealt.withColumn("_own", own).join(bases, ["length", "_part"]).withColumn("_rank", (F.col("_base") + F.col("_own")).cast("long"))
     kept = pieces.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"

@@ -186,6 +186,36 @@ def test_packing_round_trip(spark, exact):
     assert packing.pack_documents(df.limit(0)).collect() == []
 
 
+def test_packing_query_against_brute_force(spark, sf, exact):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = [r.asDict() for r in QUERIES["op3_packing"](spark, sf).collect()]
+    want = set()
+    for d, t in texts.items():
+        ids = [*exact.encode(t or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        for k, s in enumerate([0, *range(first, len(ids), 1024)]):
+            own = np.asarray(ids[s : first if k == 0 else s + 1024], "<u4")
+            want.add((d, k, s, len(own), zlib.crc32(own.tobytes())))
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in places.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 1024
+    assert len(places) <= sum(r["length"] for r in got) / 1024 * 1.02 + 2
+
+
+def test_packing_of_one_length_and_no_ids(spark, monkeypatch):
+    """All pieces have one length and no id; they are ranked in many parts, and reruns agree."""
+    monkeypatch.setattr(packing, "PART_ROWS", 50)
+    rows = [(None, k % 3, 0, 350, k // 2) for k in range(900)]  # each row twice
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = sorted(map(tuple, packing.pack(df.repartition(5)).collect()), key=str)
+    assert out == sorted(map(tuple, packing.pack(df.repartition(2, "piece")).collect()), key=str)
+    assert sorted((r[5], r[6]) for r in out) == [(s, o) for s in range(450) for o in (0, 350)]  # large pieces go in pairs
+
+
 def test_media_are_stored_and_read_back(spark):
     texts = ["", None, "a", "x" * 64, "x" * 65, "é" * 40, "same", "same", "z" * 300_000, "<p>\"&amp;\x00"]
     df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, digest string")
