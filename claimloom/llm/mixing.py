@@ -126,13 +126,21 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
     return copies.withColumn("position", F.col("_copy.position")).drop("_copy", "copies").orderBy("position", "doc_id")
 
 
+def by_first_position(mixed: DataFrame, most: int = 2, digits: int = 9) -> DataFrame:
+    """One row per document with ``position``, ``position_2`` ... of its at most ``most`` copies (null: not taken).
+
+    Rows are range-sorted by the first; documents that are not taken come last, in order of their ids.
+    """
+    cols = {"position" if k == 0 else f"position_{k + 1}": F.round(F.get(F.col("copies"), F.lit(k))["position"], digits) for k in range(most)}
+    return mixed.withColumns(cols).drop("copies").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     # only sizes are needed from here on, so the texts are read once
     sized = materialize(docs.select("doc_id", "source", words_of(F.col("text")).alias("words")), "mix-sizes")
-    mixed = mix(sized, size=F.col("words"))
-    first = F.get(F.col("copies"), F.lit(0))["position"]
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(first, 9).alias("position"))
+    mixed = by_first_position(mix(sized, size=F.col("words")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "position_2")
 
 
 OP9_SQL = r"""
@@ -151,9 +159,11 @@ p AS (SELECT d.*, t.source_size, t.target, t.place,
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, greatest(0, least(size, floor(target)::BIGINT - start)) AS first,
     greatest(0, least(size, floor(target)::BIGINT - start - source_size)) AS second FROM p),
-m AS (SELECT *, CASE WHEN first > 0 THEN (start + first / 2) / target END AS x FROM q)
+m AS (SELECT *, CASE WHEN first > 0 THEN (start + first / 2) / target END AS x, CASE WHEN second > 0 THEN (start + source_size + second / 2) / target END AS y FROM q)
 SELECT doc_id, size, source_size, target, (first + second)::BIGINT AS taken,
   round(CASE place % 3 WHEN 0 THEN CASE WHEN x <= 2.0 / 3 THEN x * 0.75 ELSE 0.5 + (x - 2.0 / 3) * 1.5 END
-    WHEN 1 THEN x ELSE CASE WHEN x <= 1.0 / 3 THEN x * 1.5 ELSE 0.5 + (x - 1.0 / 3) * 0.75 END END, 9) AS position
+    WHEN 1 THEN x ELSE CASE WHEN x <= 1.0 / 3 THEN x * 1.5 ELSE 0.5 + (x - 1.0 / 3) * 0.75 END END, 9) AS position,
+  round(CASE place % 3 WHEN 0 THEN CASE WHEN y <= 2.0 / 3 THEN y * 0.75 ELSE 0.5 + (y - 2.0 / 3) * 1.5 END
+    WHEN 1 THEN y ELSE CASE WHEN y <= 1.0 / 3 THEN y * 1.5 ELSE 0.5 + (y - 1.0 / 3) * 0.75 END END, 9) AS position_2
 FROM m
 """

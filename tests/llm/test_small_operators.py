@@ -214,6 +214,14 @@ def test_training_order_follows_the_schedules(spark):
     assert early == pytest.approx(2 / 3, abs=0.01)  # the first source's schedule is twice as dense before the middle
 
 
+def test_mixing_query_is_range_sorted(spark, sf):
+    rows = QUERIES["op9_mixing"](spark, sf).collect()
+    key = [(r["position"] is None, r["position"] or 0.0, r["doc_id"]) for r in rows]
+    assert key == sorted(key)
+    assert all(r["position_2"] is None or r["position_2"] > r["position"] for r in rows)
+    assert any(r["position_2"] is not None for r in rows) and any(r["position"] is None for r in rows)
+
+
 def brute_lines(rows):
     white = " \t\n\x0b\x0c\r"
     up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
