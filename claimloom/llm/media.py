@@ -26,9 +26,10 @@ UNIT = 64
 #: A reference into the store: this, then the stored form's SHA-256 in hex.
 SCHEME = "media:sha256-"
 ITEM = "array<struct<place:int,kind:string,text:string,ref:string,digest:string,caption:string>>"
+FIELDS = ("place", "kind", "text", "ref", "digest", "caption")
 #: Tags that part text, and those whose content is no text (fixed values).
 BREAKS = frozenset("address article aside blockquote body br dd div dl dt figure figcaption footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
-SILENT = frozenset("script style template noscript".split())
+SILENT = frozenset("script style template".split())
 SOURCES = frozenset("img video audio source embed".split())
 
 
@@ -75,6 +76,7 @@ class _Items(HTMLParser):
         self.items: list[dict] = []
         self.text: list[str] = []
         self.silent = 0
+        self.hidden: list[str] = []
         self.figures: list[_Figure] = []
 
     def flush(self) -> None:
@@ -105,8 +107,11 @@ class _Items(HTMLParser):
                 caption["text"] = ""
 
     def finish(self) -> list[dict]:
-        """All items in order, also of what the page left open."""
+        """All items in order, also of what the page left open: a template without an end hides nothing."""
         self.close()
+        if self.silent:
+            self.silent = 0
+            self.handle_data("".join(self.hidden))
         self.flush()
         while self.figures:
             self.end_figure()
@@ -136,6 +141,8 @@ class _Items(HTMLParser):
     def handle_endtag(self, tag) -> None:
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
+            if not self.silent:
+                self.hidden = []
         if tag in BREAKS:
             self.flush()
         if tag == "figcaption" and self.figures:
@@ -144,7 +151,10 @@ class _Items(HTMLParser):
             self.end_figure()
 
     def handle_data(self, data) -> None:
-        if not self.silent:
+        if self.silent:
+            if self.cdata_elem is None:  # what a script or style holds is never text
+                self.hidden.append(data)
+        else:
             caption = self.figures[-1].caption if self.figures else None
             (self.text if caption is None else caption).append(data)
 
@@ -177,16 +187,22 @@ def interleave(pages: DataFrame, html: str = "html") -> DataFrame:
 def resolve(sequences: DataFrame, store: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per item, in no order, with the store's columns of its digest (null if it has none).
 
-    ``store`` has one row per digest.  Digests that very many items name are dealt out.
+    ``store`` has one row per digest.  Digests that very many items name are dealt out.  Columns of
+    ``sequences`` and then of ``store`` that are named like an item's (``place, kind, text, ref, digest,
+    caption``) give way to the item's; a column of both tables is the store's.
     """
-    items = sequences.select(*[c for c in sequences.columns if c != "items"], F.explode("items").alias("item")).select("*", "item.*").drop("item")
+    found = [c for c in store.columns if c == "digest" or c not in FIELDS]
+    store = store.select(*found)
+    others = [c for c in sequences.columns if c != "items" and c not in FIELDS and c not in found]
+    hold = F.col(key).alias("_key") if key in sequences.columns else F.xxhash64("items").alias("_key")
+    items = sequences.select(*others, hold, F.explode("items").alias("item")).select(*others, "_key", "item.*")
     named = items.groupBy("digest").agg(F.count("*").alias("n"))
     named = materialize(named.where("digest IS NOT NULL"), "media-named")
     total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # texts have no digest; they are dealt by their document and match nothing
-    items = items.withColumn("digest", F.coalesce("digest", F.concat(F.lit("none "), F.coalesce(F.col(key).cast("string"), F.lit("")))))
-    out = salted_join(items, store, "digest", hot_keys(named, "digest", "n", total), F.xxhash64(key), "left")
-    return out.withColumn("digest", F.when(F.col("kind") == "media", F.col("digest")))
+    items = items.withColumn("digest", F.coalesce("digest", F.concat(F.lit("none "), F.coalesce(F.col("_key").cast("string"), F.lit("")), F.lit(" "), F.col("place"))))
+    out = salted_join(items, store, "digest", hot_keys(named, "digest", "n", total), F.xxhash64("_key", "place"), "left")
+    return out.withColumn("digest", F.when(F.col("kind") == "media", F.col("digest"))).drop("_key")
 
 
 def store_texts(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
@@ -263,6 +265,10 @@ def test_interleaving_keeps_order_and_captions(spark):
         ("<figure><figcaption>c", [("c", None)]),
         ("a<figcaption>c<p>t</p>", [("a", None), ("c", None), ("t", None)]),
         ("<figure><figcaption>o</figcaption><figure><img src=x><figcaption>i</figcaption></figure></figure>", [("o", None), ("x", "i")]),
+        ("<figure><figure><img src=x><figcaption>i</figcaption></figure><figcaption>o</figcaption></figure>", [("x", "i"), ("o", None)]),
+        ("<noscript>n<img src=x></noscript>t<noscript>u", [("n", None), ("x", None), ("tu", None)]),
+        ("a<template>h</template><template>b <p>c</p>", [("a", None), ("b c", None)]),
+        ("a<script>h</script>b<style>p{}</style>c", [("abc", None)]),
         ("<figure><img src=x><figcaption>c</figcaption><figcaption>d</figcaption><img src=y></figure>", [("x", "c d"), ("y", "c d")]),
     ],
 )
@@ -272,6 +278,45 @@ def test_no_caption_is_lost(html, want):
     assert [i["place"] for i in items] == list(range(len(want)))
 
 
+def test_media_query_against_brute_force(spark, sf):
+    got = {r["doc_id"]: r for r in QUERIES["op5_media"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert set(got) == {r["doc_id"] for r in docs}
+    features = {}
+    for d in docs:
+        raw = (d["text"] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        header = f"P5\n64 {len(payload) // 64}\n255\n".encode()
+        r = got[d["doc_id"]]
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(raw), len(payload), len(header) + len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert r["media_sha256"] == hashlib.sha256(header + payload).hexdigest()
+        features.setdefault(d["text"] or "", set()).add(r["feature"])
+    assert all(len(f) == 1 for f in features.values()) and len(set.union(*features.values())) > len(features) / 2
+
+
+def test_columns_that_clash_in_a_resolve(spark):
+    html = '<p>t</p><img src="media:sha256-ab" alt="c">'
+    pages = spark.createDataFrame([(1, html, "d", "x", "y", 5, "z")], "doc_id int, html string, digest string, text string, caption string, place int, payload string")
+    store = spark.createDataFrame([("ab", "bytes", "s", "k")], "digest string, payload string, text string, kind string")
+    got = media.resolve(media.interleave(pages), store)
+    assert sorted(got.columns) == sorted(["doc_id", "payload", *media.FIELDS])
+    assert [(r["place"], r["kind"], r["text"], r["digest"], r["caption"], r["payload"]) for r in got.orderBy("place").collect()] == [(0, "text", "t", None, None, None), (1, "media", None, "ab", "c", "bytes")]
+
+
+def test_real_pages_lose_no_text_and_no_media(spark, sf):
+    """All pages of the driver's table: the letters outside scripts and styles, and every source, come out in order."""
+    rows = media.interleave(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.col("html").alias("raw")), "page_id").collect()
+    assert rows
+    for r in rows:
+        assert [i["place"] for i in r["items"]] == list(range(len(r["items"])))
+        raw = re.sub(r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<(script|style|template)\b.*?</\1>", "", r["raw"] or "")
+        letters = re.sub(r"\s+", "", unescape(re.sub(r"(?s)<[^>]*>", "", raw)))
+        shown = "".join((i["text"] or "") for i in r["items"])
+        assert re.sub(r"\s+", "", shown) == letters or any(i["caption"] for i in r["items"])
+        assert [i["ref"] for i in r["items"] if i["kind"] == "media"] == [unescape(x).strip() for x in re.findall(r'<(?:img|video|audio|source|embed)\b[^>]*?\bsrc="([^"]+)"', raw)]
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_nearest_against_brute_force(spark, kind):
     rng = np.random.default_rng(4)
