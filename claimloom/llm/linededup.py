@@ -1,14 +1,16 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet table of (key, owner), sorted by key within its parts: the lines
-that some batches brought, each with the document that keeps it.  A new batch is merged
-against all runs: its lines found there are repeats, the others become a new run of the
-lowest level.  When a level has ``FANOUT`` runs they are compacted into one of the next,
-so a line is rewritten once a level and a batch meets few runs.
+A run is a Parquet table of line keys, laid out in a fixed number of hash buckets and sorted by key
+within each: the lines that some batches brought, each with the document that keeps it.  A new
+batch is shuffled by key into the same buckets and merged with each run bucket by bucket, so what is known
+already is read in place and never shuffled again.  Its lines found there are repeats, the others become
+a new run of the lowest level.  When a level has ``FANOUT`` runs they are compacted into one of the next, so a
+line is rewritten once a level and a batch meets few runs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from functools import reduce
 
@@ -17,12 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, fresh_path, hot_keys, map_arrow, materialize, salted_join
+from .common import Scratch, drop_path, fresh_path, hot_keys, map_arrow, materialize, salted_join
 
-FANOUT = 4
+FANOUT = 3
+#: Batches of one call; more than ``FANOUT``, so later ones meet a compacted run.
+BATCHES = 6
 MIN_CHARS = 10
 WHITE = b" \t\n\x0b\x0c\r"
-RUN_SCHEMA = "key binary, owner long"
+#: owner keeps the line; known: an earlier run has it; first, last, n: of the batch's documents that hold it.
+RUN_COLUMNS = "key BINARY, owner BIGINT, known BOOLEAN, first BIGINT, last BIGINT, n BIGINT"
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -50,68 +55,108 @@ def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """The runs by level, and the batches that went into them."""
+    """The runs by level, and the batches that went into them.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
+    ``buckets`` (else the session's number of shuffle partitions) is fixed for all runs; where a
+    session asks for more partitions than that, Spark shuffles the runs for parallelism.  Runs
+    that a compaction took the place of are only listed as ``retired``: save :meth:`manifest`,
+    then call :meth:`clean`.  A job that ends in between finds all that its last manifest names.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None) -> None:
         self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.batches: list[str] = []
+        self.retired: list[str] = []
 
     def manifest(self) -> str:
         """What :meth:`restore` needs to go on from the stored runs."""
-        return json.dumps({"fanout": self.fanout, "levels": self.levels, "batches": self.batches})
+        return json.dumps({k: getattr(self, k) for k in ("fanout", "buckets", "levels", "batches", "retired")})
 
     @classmethod
     def restore(cls, spark: SparkSession, manifest: str) -> LineRuns:
         said = json.loads(manifest)
-        runs = cls(spark, said["fanout"])
-        runs.levels, runs.batches = said["levels"], said["batches"]
+        runs = cls(spark, said["fanout"], said["buckets"])
+        runs.levels, runs.batches, runs.retired = said["levels"], said["batches"], said["retired"]
         return runs
 
-    def read(self) -> DataFrame | None:
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*paths) if paths else None
-
-    def _write(self, run: DataFrame, level: int) -> None:
+    def paths(self) -> list[str]:
+        return [p for level in self.levels for p in level]
+
+    def clean(self) -> None:
+        """Delete retired runs."""
+        for path in self.retired:
+            self._forget(path)
+        self.retired = []
+
+    def delete(self) -> None:
+        """Delete all runs."""
+        self.retired += self.paths()
+        self.levels = []
+        self.clean()
+
+    @staticmethod
+    def _name(path: str) -> str:
+        return "claimloom_run_" + hashlib.sha256(path.encode()).hexdigest()[:32]
+
+    def _forget(self, path: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(path)}")
+        drop_path(self.spark, path)
+
+    def run(self, path: str) -> DataFrame:
+        """A run as a table of the session's catalog, which is where Spark knows its buckets from."""
+        name = self._name(path)
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} ({RUN_COLUMNS}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
+
+    def _write(self, rows: DataFrame, level: int) -> str:
         path = fresh_path(self.spark, f"line-run-{level}")
-        run.select("key", "owner").sortWithinPartitions("key").write.option("compression", "zstd").parquet(path)
+        rows.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key").option("path", path).option("compression", "zstd").saveAsTable(self._name(path))
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
-        if len(self.levels[level]) >= self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            # a key is in one run only, so compaction is a sorted rewrite without any aggregation
-            merged = self.spark.read.schema(RUN_SCHEMA).parquet(*old).repartitionByRange("key")
-            self._write(merged, level + 1)
-            for p in old:
-                drop_path(self.spark, p)
+        return path
+
+    def _compact(self, level: int = 0) -> None:
+        """Full levels become one run of the next; a key is in one run only, so this is a sorted rewrite."""
+        if level >= len(self.levels) or len(self.levels[level]) < self.fanout:
+            return
+        old, self.levels[level] = self.levels[level], []
+        rows = reduce(DataFrame.unionByName, [self.run(p).where("NOT known").select("key", "owner") for p in old]).repartition(self.buckets, "key")
+        owner = F.col("owner")
+        self._write(rows.select("key", "owner", F.lit(False).alias("known"), owner.alias("first"), owner.alias("last"), F.lit(0).cast("long").alias("n")), level + 1)
+        self.retired += old
+        self._compact(level + 1)
 
     def add(self, batch: str, lines: DataFrame) -> DataFrame:
-        """Merge a batch's (doc_id, key) rows; returns its repeated keys (key, owner, n).
+        """Merge a batch's (doc_id, key) rows; returns the batch's run (see ``RUN_COLUMNS``).
 
         A batch that went in before is refused with ValueError, so that a retried job
         cannot take its own lines for repeats.
         """
         if batch in self.batches:
             raise ValueError(f"batch {batch} is in the runs already")
-        own = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-        known = self.read()
-        if known is None:
-            merged = own.withColumn("owner", F.lit(None).cast("long"))
-        else:
-            merged = own.join(known, "key", "left")
-        merged = materialize(merged, "line-merge")
-        self._write(merged.where("owner IS NULL").select("key", F.col("first").alias("owner")), 0)
+        rows = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+        known = self.paths()
+        for k, path in enumerate(known):
+            rows = rows.join(self.run(path).where("NOT known").select("key", F.col("owner").alias(f"_{k}")), "key", "left")
+        if not known:
+            rows = rows.repartition(self.buckets, "key")
+        found = F.coalesce(*[F.col(f"_{k}") for k in range(len(known))]) if known else F.lit(None).cast("long")
+        path = self._write(rows.select("key", F.coalesce(found, "first").alias("owner"), found.isNotNull().alias("known"), "first", "last", "n"), 0)
         self.batches.append(batch)
-        repeats = merged.where("owner IS NOT NULL OR first <> last")
-        return repeats.select("key", F.coalesce("owner", "first").alias("owner"), "n")
+        out = self.run(path)
+        self._compact()
+        return out
 
 
-def line_drops(lines: DataFrame, repeats: DataFrame) -> DataFrame:
-    """(doc_id, keys): the keys whose lines a document loses.  Very common lines are dealt out."""
-    total = lines.count()
-    hot = hot_keys(repeats, "key", "n", total)
-    found = salted_join(lines, repeats.select("key", "owner"), "key", hot, F.xxhash64("doc_id"))
+def line_drops(lines: DataFrame, run: DataFrame) -> DataFrame:
+    """(doc_id, keys): the keys whose lines a batch's documents lose.  Very common lines are dealt out."""
+    total = run.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    repeats = run.where("known OR first <> last").select("key", "owner", "n")
+    found = salted_join(lines, repeats.select("key", "owner"), "key", hot_keys(repeats, "key", "n", total), F.xxhash64("doc_id"))
     return found.where("doc_id <> owner").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
 
@@ -138,30 +183,36 @@ def drop_lines(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) ->
     return map_arrow(joined.select(*others, "_keys"), apply, spark_schema)
 
 
-def dedup_lines(docs: DataFrame, n_batches: int = 4, min_chars: int = MIN_CHARS, runs: LineRuns | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, n_batches: int = BATCHES, min_chars: int = MIN_CHARS, runs: LineRuns | None = None) -> DataFrame:
     """Add ``kept``, ``n_lines``, ``n_dropped`` to every row of ``docs`` (doc_id, text, ...).
 
     The documents go in as ``n_batches`` batches by ranges of doc_id, lowest first, so a
     line's owner is the smallest doc_id that holds it.  With ``runs`` of earlier batches
-    their documents own their lines.  Lines whose key is shorter than ``min_chars`` code
-    points stay.
+    their documents own their lines; save its manifest and clean it afterwards.  Lines whose key
+    is shorter than ``min_chars`` code points stay.
 
     A null or empty text is one empty line.  Rows of one doc_id count as one document and
     lose no line to each other; rows with a null doc_id are kept whole and own nothing.
     Other columns stay; those named like the added ones are replaced.
     """
     spark = docs.sparkSession
+    lines_of, own_runs = Scratch(spark), runs is None
     runs = runs or LineRuns(spark)
     lines = line_table(docs.select("doc_id", "text"), min_chars)
     edges = sorted(set(docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [k / n_batches for k in range(1, n_batches)], 0.01))) if n_batches > 1 else []
     batch = reduce(lambda c, e: c + (F.col("doc_id") > F.lit(int(e))).cast("int"), edges, F.lit(0))
     path = fresh_path(spark, "lines")
+    lines_of.paths.append(path)
     lines.withColumn("batch", batch).write.partitionBy("batch").option("compression", "zstd").parquet(path)
     lines = spark.read.schema("doc_id long, key binary, batch int").parquet(path)
     drops = []
     for k in range(len(edges) + 1):
         own = lines.where(F.col("batch") == k).select("doc_id", "key")
-        drops.append(line_drops(own, runs.add(f"{path}/{k}", own)))
+        drops.append(materialize(line_drops(own, runs.add(f"{path}/{k}", own)), "line-drops"))
+    # what follows reads the drops alone
+    lines_of.drop()
+    if own_runs:
+        runs.delete()
     return drop_lines(docs, reduce(DataFrame.unionByName, drops), min_chars)
 
 

@@ -239,16 +239,18 @@ def brute_lines(rows):
     return sorted(out, key=str)
 
 
-def test_line_dedup_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "FANOUT", 2)
+def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(6)
     pool = [f"line number {k} of the pool" for k in range(30)] + ["short", "", "ÄÖÜäöü1234", "Line Number 1 OF the pool  ", "\u00a0nbsp is no space 1", "a" * 9, "ä" * 10]
     rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 9)))) for k in range(300)] + [(7, pool[0]), (None, pool[0]), (9001, None), (9002, ""), (9003, "\r\n" * 3 + "x" * 10), (9004, "x" * 10 + "\r")]
     df = spark.createDataFrame([(a, b, "clash", 2) for a, b in rows], "doc_id long, text string, key string, n int").repartition(6)
-    runs = linededup.LineRuns(spark, fanout=2)
-    got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in linededup.dedup_lines(df, 5, runs=runs).collect()), key=str)
-    assert got == brute_lines(rows)
-    assert any(len(level) for level in runs.levels[1:])  # some runs were compacted
+    for fanout, batches in ((2, 9), (3, 6)):  # more batches than fan-out, so some meet compacted runs
+        runs = linededup.LineRuns(spark, fanout, 5)
+        got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in linededup.dedup_lines(df, batches, runs=runs).collect()), key=str)
+        assert got == brute_lines(rows)
+        assert any(len(level) for level in runs.levels[1:]) and len(runs.batches) > fanout
+        runs.delete()
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in linededup.dedup_lines(df).collect()), key=str) == brute_lines(rows)
     assert linededup.dedup_lines(df.limit(0)).collect() == []
 
 
@@ -263,6 +265,40 @@ def test_line_runs_go_on_with_later_batches(spark):
         runs.add(runs.batches[0], linededup.line_table(first))
 
 
+def test_a_batch_merges_with_runs_in_place(spark):
+    """Known runs are read by bucket: the only shuffle is the batch's own."""
+    runs = linededup.LineRuns(spark, fanout=9, buckets=4)
+    docs = [spark.createDataFrame([(10 * k + j, f"line {j} of every batch\nline {j} of batch {k}") for j in range(4)], "doc_id long, text string") for k in range(3)]
+    for k in range(2):
+        runs.add(str(k), linededup.line_table(docs[k]))
+    plans = []
+    write = linededup.LineRuns._write
+    linededup.LineRuns._write = lambda self, rows, level: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(self, rows, level))[1]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = runs.add("2", linededup.line_table(docs[2])).collect()
+    finally:
+        linededup.LineRuns._write = write
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plans[0].count("Exchange") == 1 and plans[0].count("Bucketed: true") == 2
+    assert sorted((r["owner"], r["known"]) for r in got) == [(k, True) for k in range(4)] + [(20 + k, False) for k in range(4)]
+
+
+def test_a_job_that_ends_after_a_compaction_goes_on(spark):
+    runs = linededup.LineRuns(spark, fanout=2, buckets=2)
+    docs = [spark.createDataFrame([(k, f"a line of all\nand one of {k} alone")], "doc_id long, text string") for k in range(5)]
+    saved = runs.manifest()
+    for k in range(4):
+        again = linededup.LineRuns.restore(spark, saved)  # as if the job had ended before it saved the last manifest
+        first = [sorted(map(str, r.add(str(k), linededup.line_table(docs[k])).collect()))[0] for r in (runs, again)]
+        assert first[0] == first[1]
+        saved = again.manifest()
+        again.clean()
+        runs = again
+    assert runs.retired == [] and linededup.dedup_lines(docs[4], 1, runs=runs).first()["kept"] == "and one of 4 alone"
+
+
 def test_kept_hash_is_of_utf8(spark):
     row = QUERIES["op8_line_dedup"]
     assert row.__name__ == "op8_line_dedup"
