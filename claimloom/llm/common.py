@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import Files, Scratch, drop_path, fresh_path, materialize, work_dir
 
-__all__ = ["Files", "Scratch", "ascii_lower", "drop_path", "fresh_path", "hot_keys", "map_arrow", "materialize", "salted_join", "words_of", "work_dir"]
+__all__ = ["Files", "Scratch", "ascii_lower", "drop_path", "fresh_path", "hot_keys", "hot_of", "map_arrow", "materialize", "salted_join", "words_of", "work_dir"]
 
 #: Inside brackets of a regular expression: the white space that separates words.
 SPACE = r"\x20\x09-\x0D"
@@ -37,6 +37,11 @@ def hot_keys(counts: DataFrame, key: str, n: str, total: int, most: int = 2000,
     return counts.where(F.col(n) > limit).select(key, F.ceil(F.col(n) / limit).cast("int").alias("_parts"))
 
 
+def hot_of(rows: DataFrame, key: str) -> DataFrame:
+    """The hot keys of a written table."""
+    return hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), key, "n", rows.count())
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread: Column, how: str = "inner") -> DataFrame:
     """Join where ``left`` may have very many rows for a key and ``right`` has one.
 

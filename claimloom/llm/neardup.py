@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_keys, map_arrow, materialize, salted_join
-from .shingles import least_matches, near, overlap, set_key, shingle_set, signature, survivors
+from .common import Scratch, hot_keys, hot_of, map_arrow, materialize, salted_join
+from .shingles import collisions, least_matches, near, overlap, set_key, shingle_set, signature, survivors
 
 #: A bucket of at most so many members gives its pairs as rows; a larger one is compared in blocks.
 SMALL = 16
@@ -74,22 +74,25 @@ def signatures(docs: DataFrame, p: NearDup) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), sign, "doc_id long, n_shingles long, key binary, sig binary")
 
 
-def buckets(reps: DataFrame, p: NearDup) -> DataFrame:
+def buckets(reps: DataFrame, p: NearDup, work: Scratch) -> DataFrame:
     """(bucket, band, doc_id, n, first) of buckets with two representatives or more; first: their leader."""
     width = 2 * p.rows
     bands = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda b: F.xxhash64(F.substring(F.col("sig"), b * width + 1, F.lit(width)), b))
     dealt = reps.select("doc_id", F.posexplode(bands).alias("band", "bucket"))
-    sizes = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "dup-buckets")
+    sizes = work.keep(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "dup-buckets")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = hot_keys(sizes, "bucket", "n", total)
-    members = materialize(salted_join(dealt, sizes, "bucket", hot, F.xxhash64("doc_id")), "dup-members")
+    members = work.keep(salted_join(dealt, sizes, "bucket", hot, F.xxhash64("doc_id")), "dup-members")
     central = members.groupBy("doc_id").agg(F.sum("n").alias("central"))
     leaders = members.join(central, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct(F.col("central"), -F.col("doc_id"))).alias("first"))
     return salted_join(members, leaders, "bucket", hot, F.xxhash64("doc_id"))
 
 
 def likely(pairs: DataFrame, sigs: DataFrame, p: NearDup) -> DataFrame:
-    """The pairs (a, b) that sequential comparison of their signatures leaves."""
+    """The pairs (a, b), a written table, that sequential comparison of their signatures leaves.
+
+    A leader ``a`` may have very many pairs, so its signature goes to several tasks.
+    """
     rules = least_matches(p.places, p.batch, p.percent / 100, p.miss)
 
     def compare(batches):
@@ -97,18 +100,18 @@ def likely(pairs: DataFrame, sigs: DataFrame, p: NearDup) -> DataFrame:
             left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, p.places) for k in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in (0, 1)], ["a", "b"]).take(pa.array(survivors(left, right, rules), pa.int64()))
 
-    both = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    both = both.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    both = pairs.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    both = salted_join(both, sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a", hot_of(pairs, "a"), F.xxhash64("b"))
     return map_arrow(both.select("a", "b", "sig_a", "sig_b"), compare, "a long, b long", 5000)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, p: NearDup, work: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough, from the texts themselves."""
-    pairs = materialize(pairs.dropDuplicates(["a", "b"]), "dup-pairs")
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "dup-ids")
+    pairs = work.keep(pairs.dropDuplicates(["a", "b"]), "dup-pairs")
+    ids = work.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "dup-ids")
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     wanted = texts.join(F.broadcast(ids) if ids.count() <= MAX_SENT_IDS else ids, "doc_id", "left_semi")
-    wanted = materialize(wanted.dropDuplicates(["doc_id"]), "dup-texts")
+    wanted = work.keep(wanted.dropDuplicates(["doc_id"]), "dup-texts")
 
     def check(batches):
         known: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -126,30 +129,39 @@ def verified(pairs: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    # a leader's text goes once to each task that has some of its pairs
+    both = salted_join(both, wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a", hot_of(pairs, "a"), F.xxhash64("b"))
     return map_arrow(both.select("a", "b", "text_a", "text_b"), check, "a long, b long", 500)
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, work: Scratch) -> DataFrame:
     """(doc_id, component): the smallest id that the links (a, b) reach; nodes without a link keep their own.
 
     Each step takes the smallest component among a node's neighbours and then that
-    component's own, so distances shrink by doubling; each step is a written table.
+    component's own, so distances shrink by doubling; each step is a written table, which the next
+    replaces.  Nodes with very many links, and components with very many nodes, are dealt out.
     """
-    links = materialize(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "dup-links")
-    now = materialize(links.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.col("doc_id")).alias("component")), "dup-components")
+    links = work.keep(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "dup-links")
+    hubs = work.keep(hot_of(links, "a"), "dup-hubs")
+    loop = Scratch(work.spark)
+    now = loop.keep(links.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.col("doc_id")).alias("component")), "dup-components")
     while True:
-        near = links.join(now.select(F.col("doc_id").alias("a"), "component"), "a").groupBy(F.col("b").alias("doc_id")).agg(F.min("component").alias("near"))
-        step = now.join(near, "doc_id").select("doc_id", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
+        said = salted_join(links, now.select(F.col("doc_id").alias("a"), "component"), "a", hubs, F.xxhash64("b"))
+        near = said.groupBy(F.col("b").alias("doc_id")).agg(F.min("component").alias("near"))
+        step = loop.keep(now.join(near, "doc_id").select("doc_id", F.col("component").alias("old"), F.least("component", "near").alias("mid")), "dup-step")
         jump = now.select(F.col("doc_id").alias("mid"), F.col("component").alias("far"))
-        new = materialize(step.join(jump, "mid").select("doc_id", F.least("mid", "far").alias("component"), (F.least("mid", "far") < F.col("old")).alias("moved")), "dup-components")
+        jumped = salted_join(step, jump, "mid", hot_of(step, "mid"), F.xxhash64("doc_id"))
+        new = loop.keep(jumped.select("doc_id", F.least("mid", "far").alias("component"), (F.least("mid", "far") < F.col("old")).alias("moved")), "dup-components")
         now = new.select("doc_id", "component")
-        if new.where("moved").isEmpty():
+        done = new.where("moved").isEmpty()
+        loop.drop(last=1)
+        if done:
             break
+    work.paths += loop.paths
     return nodes.join(now, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
 
 
-def across(shared: DataFrame, found: DataFrame, sigs: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
+def across(shared: DataFrame, found: DataFrame, sigs: DataFrame, docs: DataFrame, p: NearDup, work: Scratch) -> DataFrame:
     """Likely pairs (a, b) of different components that share a bucket.
 
     In a bucket's largest component members only meet members of the others, so a bucket
@@ -159,21 +171,21 @@ def across(shared: DataFrame, found: DataFrame, sigs: DataFrame, docs: DataFrame
     placed = shared.select("bucket", "band", "doc_id").join(found, "doc_id")
     per = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     most = per.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    most = materialize(most, "dup-mixed")
+    most = work.keep(most, "dup-mixed")
     if most.isEmpty():
         return none
     few = placed.join(most.where(F.col("n") <= SMALL).select("bucket"), "bucket").select("bucket", "doc_id", "component")
-    few = materialize(few, "dup-few")
+    few = work.keep(few, "dup-few")
     other = few.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
     pairs = few.join(other, (few["bucket"] == other["bucket"]) & (few["doc_id"] < other["b"]) & (few["component"] != other["of_b"]))
-    small = likely(pairs.select(F.col("doc_id").alias("a"), "b").dropDuplicates(["a", "b"]), sigs, p)
+    small = likely(work.keep(pairs.select(F.col("doc_id").alias("a"), "b").dropDuplicates(["a", "b"]), "dup-few-pairs"), sigs, p)
     large = most.where(F.col("n") > SMALL)
     if large.isEmpty():
         return small
-    return small.unionByName(_blocks(placed, large, sigs, docs, p))
+    return small.unionByName(_blocks(placed, large, sigs, docs, p, work))
 
 
-def _blocks(placed: DataFrame, large: DataFrame, sigs: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
+def _blocks(placed: DataFrame, large: DataFrame, sigs: DataFrame, docs: DataFrame, p: NearDup, work: Scratch) -> DataFrame:
     """The similar pairs across components of large buckets, each from the first band that it shares.
 
     A cell (i, j) compares block i of the smaller components with block j, for i <= j: by
@@ -187,8 +199,8 @@ def _blocks(placed: DataFrame, large: DataFrame, sigs: DataFrame, docs: DataFram
     mains = F.ceil(F.col("n_main") / BLOCK).cast("int")
     minor = F.col("component") != F.col("main")
     own = F.when(minor, F.pmod(F.xxhash64("doc_id"), blocks)).otherwise(blocks + F.pmod(F.xxhash64("doc_id"), mains)).cast("int")
-    members = materialize(members.select("bucket", "band", "doc_id", "component", minor.alias("minor"), own.alias("own"), blocks.alias("blocks"), (blocks + mains).alias("all_blocks")), "dup-large")
-    ids = materialize(members.select("doc_id").distinct(), "dup-large-ids")
+    members = work.keep(members.select("bucket", "band", "doc_id", "component", minor.alias("minor"), own.alias("own"), blocks.alias("blocks"), (blocks + mains).alias("all_blocks")), "dup-large")
+    ids = work.keep(members.select("doc_id").distinct(), "dup-large-ids")
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     wanted = texts.join(F.broadcast(ids) if ids.count() <= MAX_SENT_IDS else ids, "doc_id", "left_semi")
 
@@ -198,7 +210,7 @@ def _blocks(placed: DataFrame, large: DataFrame, sigs: DataFrame, docs: DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
 
     short = map_arrow(wanted, shorten, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
-    known = materialize(short.join(sigs.select("doc_id", "sig"), "doc_id"), "dup-short")
+    known = work.keep(short.join(sigs.select("doc_id", "sig"), "doc_id"), "dup-short")
     cells = F.when(
         F.col("minor"),
         F.array_union(
@@ -218,7 +230,9 @@ def _blocks(placed: DataFrame, large: DataFrame, sigs: DataFrame, docs: DataFram
         size = np.asarray([len(h) for h in sets])
         a, b = np.repeat(x, len(y)), np.tile(y, len(x))
         keep = (comp[a] != comp[b]) & ((ids[a] < ids[b]) | (i != j))
-        keep &= 101 * np.minimum(size[a], size[b]) >= p.percent * np.maximum(size[a], size[b])
+        # sizes as hashes count them may be too small by what collides
+        spare = np.asarray([collisions(int(n)) for n in size], np.int64)
+        keep &= 100 * (np.minimum(size[a], size[b]) + np.maximum(spare[a], spare[b])) >= p.percent * np.maximum(size[a], size[b])
         a, b = a[keep], b[keep]
         alive = survivors(sig[a], sig[b], rules)
         a, b = a[alive], b[alive]
@@ -246,24 +260,27 @@ def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame
     """
     p = params or NearDup()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    work = Scratch(docs.sparkSession)
     signed = materialize(signatures(docs, p), "dup-signatures")
     classes = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    classes = materialize(classes, "dup-classes")
+    classes = work.keep(classes, "dup-classes")
     reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig")
-    reps = materialize(reps, "dup-reps")
-    shared = materialize(buckets(reps, p), "dup-shared")
+    reps = work.keep(reps, "dup-reps")
+    shared = work.keep(buckets(reps, p, work), "dup-shared")
     # first round: one leader each
     votes = shared.where("doc_id <> first").groupBy("doc_id", "first").agg(F.count("*").alias("votes"))
     stars = votes.groupBy("doc_id").agg(F.max_by("first", F.struct(F.col("votes"), -F.col("first"))).alias("a")).select("a", F.col("doc_id").alias("b"))
-    links = materialize(verified(likely(stars, reps, p), docs, p), "dup-verified")
-    members = materialize(shared.select("doc_id").distinct(), "dup-members")
-    found = materialize(components(members, links), "dup-found")
+    stars = work.keep(stars, "dup-stars")
+    links = work.keep(verified(likely(stars, reps, p), docs, p, work), "dup-verified")
+    members = work.keep(shared.select("doc_id").distinct(), "dup-members")
+    found = work.keep(components(members, links, work), "dup-found")
     # second round: all other pairs across components
-    more = materialize(verified(across(shared, found, reps, docs, p), docs, p), "dup-verified")
+    more = work.keep(verified(across(shared, found, reps, docs, p, work), docs, p, work), "dup-verified")
     if not more.isEmpty():
-        found = components(members, links.union(more))
+        found = components(members, links.union(more), work)
     placed = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("key", "n", F.coalesce("component", "rep").alias("component_id"))
     placed = materialize(placed, "dup-placed")
+    work.drop()  # the result reads the signatures' keys and the classes' components alone
     total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = signed.select("doc_id", "n_shingles", F.coalesce("key", F.encode(F.concat(F.lit("none "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8")).alias("key"))
     out = salted_join(rows, placed.select("key", "component_id"), "key", hot_keys(placed, "key", "n", total), F.xxhash64("doc_id"), "left")

@@ -119,11 +119,21 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
+def collisions(n: int, bits: int = 32) -> int:
+    """More pairs of equal hashes than ``n`` different members have, but for a chance far below 1e-20.
+
+    Their number is about Poisson; the bound lies ten deviations, and ten pairs, above its mean.
+    """
+    mean = n * (n - 1) / 2 / 2**bits
+    return 2 + int(mean + 10 * mean**0.5 + (10 if mean > 0.01 else 0))
+
+
 def near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets of 32-bit hashes may be that similar.
 
-    Members that collide make a set one smaller and the common part one larger; each is
-    allowed for, as many as can collide among so few being far below the two spared here.
+    Members that collide make a set one smaller and the common part one larger; as many are
+    allowed for as can collide among the members of both.
     """
-    common = overlap(a, b) + 2
-    return 100 * common >= percent * (len(a) + len(b) + 2 - common)
+    spare = collisions(len(a) + len(b))
+    common = overlap(a, b) + spare
+    return 100 * common >= percent * (len(a) + len(b) + spare - common)
