@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import Files, Scratch, drop_path, fresh_path, materialize, work_dir
 
-__all__ = ["Files", "Scratch", "ascii_lower", "drop_path", "fresh_path", "hot_keys", "hot_of", "map_arrow", "materialize", "salted_join", "words_of", "work_dir"]
+__all__ = ["Files", "Scratch", "ascii_lower", "drop_path", "fresh_path", "hot_keys", "hot_of", "map_arrow", "materialize", "salted_join", "small_batches", "words_of", "work_dir"]
 
 #: Inside brackets of a regular expression: the white space that separates words.
 SPACE = r"\x20\x09-\x0D"
@@ -55,6 +55,17 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spr
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Spark send rows to Python in batches fit for long texts, where the session has Spark's own default.
+
+    For applications, which own the session: operators leave its settings alone.  A plan takes the
+    setting when it is run, so it has to stay; workers keep what their largest batch took.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
     """``mapInArrow`` over batches of at most ``rows`` rows, whatever the session's batches are.
 

@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, chat, counts, langid, linededup, media, mixing, neardup, packing, urlfilter
+from .common import small_batches
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def tuned(query: Query) -> Query:
+    """A query in a session whose batches to Python are small."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+OPERATORS: dict[str, Query] = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_token_counts": counts.op2_token_counts,
     "op3_packing": packing.op3_packing,
@@ -21,6 +37,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": urlfilter.op10_url_filter,
 }
 
+QUERIES: dict[str, Query] = {name: tuned(query) for name, query in OPERATORS.items()}
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat.OP1_SQL,
     "op4_near_dedup": neardup.OP4_SQL,
