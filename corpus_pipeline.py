@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import langid, linededup, mixing, neardup, packing
-from claimloom.llm.common import materialize, words_of
+from claimloom.llm.common import materialize, small_batches, words_of
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Documents whose language is less certain than this go.
@@ -22,32 +22,56 @@ MAX_SENT_IDS = 1_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no certain language, go."""
+    """Documents without a letter, or of no certain language, go.
+
+    Null and empty texts go, as they have no letter; a null lang or source is no reason to go, and the
+    model learns nothing from it.  Long texts are scored whole.  Repeated rows stay or go alike.  An
+    empty table stays empty; from a table without any label everything goes.
+    """
+    small_batches(spark)
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     found = langid.identify(docs, model).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     return found.select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; documents that lose all their words so go too."""
+    """Lines that an earlier document holds go; documents that lose all their words so go too.
+
+    A null text becomes an empty one and stays, as nothing was dropped.  Rows of one doc_id are one
+    document; rows with a null doc_id are kept whole.  Of equal lines the smallest doc_id keeps its own.
+    """
+    small_batches(spark)
     kept = linededup.dedup_lines(docs)
     kept = kept.where((F.col("n_dropped") == 0) | (words_of(F.col("kept")) > 0))
     return kept.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, the one of the smallest doc_id.
+
+    Documents without words are near nothing and stay, as do rows with a null doc_id.  Repeated rows
+    of a doc_id stay or go together.
+    """
+    small_batches(spark)
     gone = materialize(neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "dup-gone")
     return docs.join(F.broadcast(gone) if gone.count() <= MAX_SENT_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of documents as the mix takes them, in training order."""
+    """Copies of documents as the mix takes them, in training order.
+
+    A copy is taken whole if the mix takes at least half of its words.  Documents without words are never
+    taken.  A null source is a source of its own; ties of position go by doc_id.
+    """
     return mixing.in_training_order(mixing.mix(docs)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed pieces of all documents; a document that is there twice is packed twice."""
+    """Packed pieces of all documents; a document that is there twice is packed twice.
+
+    A null or empty text is the end id alone; a text above the capacity is several pieces.
+    """
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 
