@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from html import unescape
+from itertools import pairwise
 
 import numpy as np
 import pytest
@@ -12,8 +14,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from claimloom.llm import ann, counts, hnsw, langid, media, packing, tokens
-from claimloom.llm.common import ascii_lower, fresh_path
+from claimloom.llm.common import fresh_path
 from claimloom.llm.queries import QUERIES
+from tests.llm.test_neardup import brute
+from tests.llm.test_small_operators import brute_lines, water_fill
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -475,23 +479,93 @@ def test_texts_around_the_window_are_scored_whole(monkeypatch, extra):
         assert has == any(c.isalpha() for c in t)
 
 
-def test_pipeline_stages(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    n, have = docs.count(), docs
+@pytest.fixture(scope="module")
+def stage_rows(spark, sf):
+    """The driver's smallest table with nulls, ties, repeated rows and a long text."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    some = next(r for r in rows if r[1] and len(r[1]) > 300 and r[2] is not None)
+    line = some[1].split()  # in one line, and with a word of its own
+    rows += [(9_000_010 + k, " ".join(line[: len(line) - k] + ["und"] * k), some[2], "near", 0) for k in range(3)]
+    rows += [(9_000_001, None, "en", "s", 0), (9_000_002, "", None, None, 0), (9_000_003, "  \n\n 12 !", some[2], None, 0), (9_000_004, some[1] + "\nand one more line of words", None, None, 5), some, (None, some[1], some[2], some[3], some[4]), (9_000_005, (some[1] + "\n") * 300, some[2], some[3], 0)]
+    return rows
+
+
+def brute_mix(rows):
+    """Copies that the mix takes whole: (doc_id, text) as often as taken."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = {}
+    for _, t, _, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    goals = water_fill(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, 1.5 * sum(sizes.values()))
+    out = Counter()
+    for s in sizes:
+        stream = sorted(((hashlib.md5(str(d).encode()).hexdigest() if d is not None else "0" * 32, d is not None, d or 0, size(t), t) for d, t, _, x, _ in rows if x == s), key=lambda r: r[:4])
+        at = 0
+        for _, known, d, n, t in stream * 2:
+            taken = max(0, min(n, int(goals[s] + 1e-6) - at))
+            at += n
+            if taken and 2 * taken >= n:
+                out[(d if known else None, t)] += 1
+    return out
+
+
+def test_pipeline_stages_against_brute_force(spark, sf, stage_rows, exact):
+    docs = spark.createDataFrame(stage_rows, DOCS).repartition(5)
     assert [s[0] for s in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "mix_sources", "pack"]
-    for name, stage in corpus_pipeline.STAGES[:3]:
-        kept = stage(spark, have, sf).cache()
-        assert kept.columns == docs.columns
-        assert kept.select("doc_id").distinct().count() == kept.count() <= have.count()
-        have = kept
-    assert have.count() > 0.8 * n
-    lines = have.select("doc_id", F.explode(F.split("text", "\n")).alias("x")).select("doc_id", ascii_lower(F.expr("trim(BOTH ' \t\r' FROM x)")).alias("x")).where("length(x) >= 10")
-    assert lines.groupBy("x").agg(F.count_distinct("doc_id").alias("n")).where("n > 1").count() == 0
-    mixed = corpus_pipeline.mix_sources(spark, have, sf)
-    assert mixed.columns == docs.columns and mixed.join(have, "doc_id", "left_anti").count() == 0
+    bag = lambda df: Counter(map(tuple, df.select(*docs.columns).collect()))
+
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    told = [model.predict([r[1]]) for r in stage_rows]  # one text at a time
+    got = corpus_pipeline.language_id(spark, docs, sf)
+    assert bag(got) == Counter(r for r, (label, sure) in zip(stage_rows, told, strict=True) if label[0] != "und" and sure[0] >= 0.5)
+
+    rows = list(bag(got).elements())
+    want = Counter()
+    kept = {}
+    for d, _, lost, text in brute_lines([(r[0], r[1]) for r in rows]):
+        kept.setdefault(d, []).append((lost, text))
+    for d, _, lang, source, n in rows:
+        lost, text = kept[d].pop() if len({x for x in kept[d]}) == 1 else next(x for x in kept[d] if x[0] == 0)
+        if not lost or text.split():
+            want[(d, text, lang, source, len(text))] += 1
+    got = corpus_pipeline.line_dedup(spark, got, sf)
+    assert bag(got) == want
+
+    rows = list(want.elements())
+    first = {d: root for d, _, root, _ in brute([(r[0], r[1]) for r in rows], 5, 80)}
+    got = corpus_pipeline.near_dedup(spark, got, sf)
+    assert bag(got) == Counter(r for r in rows if r[0] is None or first[r[0]] == r[0])
+    assert sum(bag(got).values()) < len(rows)
+
+    rows = list(bag(got).elements())
+    got = corpus_pipeline.mix_sources(spark, got, sf)
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == brute_mix(rows)
+
+    texts = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    want = Counter()
+    for (d, t), n in texts.items():
+        ids = [*exact.encode(t or "", add_special_tokens=False).ids, 2]
+        cut = len(ids) % 1024 or 1024
+        for k, s in enumerate([0, *range(cut, len(ids), 1024)]):
+            own = np.asarray(ids[s : cut if k == 0 else s + 1024], "<u4")
+            want[(d, k, s, len(own), zlib.crc32(own.tobytes()))] += n
+    packed = corpus_pipeline.pack(spark, got, sf).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == want
+    ends = {}
+    for r in packed:
+        ends.setdefault(r["sequence_id"], []).append((r["offset"], r["offset"] + r["length"]))
+    for parts in ends.values():
+        parts.sort()
+        assert parts[0][0] == 0 and parts[-1][1] <= 1024 and all(a[1] == b[0] for a, b in pairwise(parts))
+
+
+def test_pipeline_run(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     packed = corpus_pipeline.run(spark, sf)
     whole = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"))
     assert whole.agg(F.max("n")).first()[0] <= 1024
+    assert packed.select("doc_id").distinct().join(docs, "doc_id", "left_anti").count() == 0
 
 
 def test_pipeline_of_an_empty_table(spark, tmp_path):
