@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,9 @@ from .tokens import default_path, tokenizer
 
 CAPACITY = 1024
 END_ID = 2
-#: Ranks are counted in parts of about so many pieces, so a very common length is dealt over tasks.
-PART_ROWS = 1 << 14
+#: Ranks of a length are counted in parts of so many pieces at least, or else of the root of their number: then
+#: neither a part nor the list of a length's parts grows in proportion.
+LEAST_PART = 512
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -150,7 +152,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     layout = Layout(plan(counts, capacity))
     sent = spark.sparkContext.broadcast(layout)  # its size depends on the capacity only
-    parts = spark.createDataFrame([(k, -(-n // PART_ROWS)) for k, n in counts.items()], "length long, _parts long")
+    parts = spark.createDataFrame([(k, -(-n // max(LEAST_PART, isqrt(n)))) for k, n in counts.items()], "length long, _parts long")
     whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in pieces.schema if "map<" not in f.dataType.simpleString()])
     dealt = pieces.withColumn("_tie", whole).join(F.broadcast(parts), "length").withColumn("_part", F.pmod("_tie", "_parts")).drop("_parts")
     per = dealt.groupBy("length", "_part").agg(F.count("*").alias("n"))

@@ -214,7 +214,7 @@ def test_packing_query_against_brute_force(spark, sf, exact):
 
 def test_packing_of_one_length_and_no_ids(spark, monkeypatch):
     """All pieces have one length and no id; they are ranked in many parts, and reruns agree."""
-    monkeypatch.setattr(packing, "PART_ROWS", 50)
+    monkeypatch.setattr(packing, "LEAST_PART", 50)
     rows = [(None, k % 3, 0, 350, k // 2) for k in range(900)]  # each row twice
     df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
     out = sorted(map(tuple, packing.pack(df.repartition(5)).collect()), key=str)
