@@ -11,7 +11,7 @@ from .functions import scalar
 from .functions.encoding import REF_PREFIX, entity_ref_column
 from .operators import evidence, paths, views, writes
 from .operators.views import Ledger
-from .plans import dsl, rules
+from .plans import dsl, engines, rules
 from .plans.compile import FactSpace, evaluate
 from .registry import evts, query, table
 from .schema import Entity, PredicateSpec, Schema
@@ -361,3 +361,37 @@ def rule_as_text(spark, sf):
 def match_entities(spark, sf):
     space = FactSpace.from_tables(spark, {"customer": table(spark, sf, "customer"), "orders": table(spark, sf, "orders")}, {"customer": "c_custkey", "orders": "o_orderkey"})
     return rules.match(space, "$c", [("pred", "orders:o_custkey", ["$o", "$c"]), ("pred", "customer:c_nationkey", ["$c", "$n"])], {"$n": 3})
+
+
+@query("SELECT s_suppkey AS s, p_partkey AS p FROM supplier JOIN part ON p_retailprice BETWEEN s_acctbal / 10 + 900 AND s_acctbal / 10 + 925")
+def range_join_by_cells(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("s"), (F.col("s_acctbal") / 10 + 900).alias("low"), (F.col("s_acctbal") / 10 + 925).alias("high"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("p"), "p_retailprice")
+    return paths.range_join(p, s, "p_retailprice", "low", "high", 25).select("s", "p")
+
+
+@query("""WITH u AS (SELECT n_regionkey AS r, 0.1 * (n_nationkey % 5 + 1) AS p FROM nation WHERE n_nationkey < 10),
+o AS (SELECT r_regionkey AS r, coalesce((SELECT product(1 - p) FROM u WHERE u.r = r_regionkey), 1) AS none FROM region)
+SELECT r::INTEGER AS r, round(none, 9)::DOUBLE AS p FROM o WHERE none > 0""")
+def prob_of_absence(spark, sf):
+    """Regions none of whose first ten nations is open, where each is open by chance: negation, by worlds."""
+    n = table(spark, sf, "nation").where("n_nationkey < 10").select("n_nationkey", "n_regionkey", F.concat(F.lit("o"), "n_nationkey").alias("_asrt"), ((F.col("n_nationkey") % 5 + 1) / 10).alias("_p"))
+    space = FactSpace(spark, {"open": n, "region": table(spark, sf, "region").select("r_regionkey")})
+    body = [("pred", "region", ["$r"]), ("not", [("pred", "open", ["$n", "$r"])])]
+    return engines.Engines().run(space, body, ["$r"], engines.Profile("worlds")).withColumn("p", F.round("p", 9))
+
+
+@query("""SELECT event_id::VARCHAR AS candidate_id, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END::BIGINT AS evidence, CASE WHEN event_id % 4 = 0 THEN CASE WHEN event_id % 8 = 0 THEN 'accept' ELSE 'reject' END END AS decision, event_id % 8 = 0 AS written FROM events""")
+def audit_status(spark, sf):
+    e = evts(spark, sf)
+    i, name = F.col("event_id"), F.col("event_id").cast("string")
+    run = F.concat(F.lit("run"), F.col("user_id"))
+    path = fresh_path(spark, "audit")
+    first = e.where(i % 4 == 0).select(name.alias("candidate_id"), F.lit("reject").alias("decision"), F.lit("later").alias("reason"), i.alias("decided_at"))
+    audit.export(spark, path, {
+        "candidates": e.select(run.alias("run_id"), name.alias("candidate_id"), name.alias("candidate_key"), F.col("event_type").alias("target"), F.lit(0.5).alias("confidence")),
+        "evidence": e.where(i % 3 == 0).select(name.alias("candidate_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("condition"), F.lit("p").alias("predicate"), name.alias("asrt_id")),
+        "decisions": first.unionByName(first.where("decided_at % 8 = 0").withColumns({"decision": F.lit("accept"), "decided_at": F.col("decided_at") + 1})),
+        "writes": e.where(i % 8 == 0).select(run.alias("run_id"), name.alias("candidate_id"), name.alias("asrt_id"), i.alias("written_at")),
+    }, "none")
+    return audit.Package(spark, path).status()

@@ -57,12 +57,16 @@ def relation_path(facts: FactSpace, start: str, steps: Sequence[Step], domains:
 
 
 def limited(rows: DataFrame, row_limit: int) -> DataFrame:
-    """The rows, or an error if there are more than ``row_limit``; nothing is ever cut off."""
+    """The rows, or an error if there are more than ``row_limit``; nothing is ever cut off.
+
+    The plan runs once: at most one row more than the limit is written, counted and read again.
+    """
     if not 1 <= row_limit <= MAX_ROWS:
         raise RuleError(f"a row limit is from 1 to {MAX_ROWS}")
-    if rows.limit(row_limit + 1).count() > row_limit:
+    found = materialize(rows.limit(row_limit + 1), "limited")
+    if found.count() > row_limit:
         raise RuleError(f"more than {row_limit} rows")
-    return rows
+    return found
 
 
 def widest_paths(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -115,3 +119,21 @@ def invalid_paths(paths: DataFrame, edges: DataFrame) -> DataFrame:
     hops = paths.where(n >= 2).select("source", "target", F.explode(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.struct(F.element_at("path", k.cast("int")).alias("a"), F.element_at("path", (k + 1).cast("int")).alias("b")))).alias("h"))
     lost = hops.join(edges, (F.col("h.a") == edges["source"]) & (F.col("h.b") == edges["target"]), "left_anti").select("source", "target")
     return wrong.union(lost).distinct()
+
+
+def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
+    """Pairs of a point and a range with ``low <= at <= high``, by an equi-join on cells of ``width``.
+
+    A range is repeated for each cell that it touches, so ``width`` should be about as long as a
+    usual range.  Points and ranges with a null, NaN or infinite end, and empty ranges, pair with nothing.
+    Columns of both tables stay and must differ.
+    """
+    if not width > 0:
+        raise RuleError("a cell has a width")
+    if both := set(points.columns) & set(ranges.columns):
+        raise RuleError(f"both tables have {sorted(both)}")
+    whole = lambda c: F.abs(F.col(c).cast("double")) < float("inf")
+    cell = lambda c: F.floor(F.col(c).cast("double") / F.lit(float(width)))
+    points = points.where(whole(at)).withColumn("_cell", cell(at))
+    ranges = ranges.where(whole(low) & whole(high) & (F.col(low) <= F.col(high))).withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
+    return points.join(ranges, "_cell").where((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("_cell")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ceil_bin, floor_bin
 from ..plans.compile import FactSpace, column_of, evaluate
-from ..plans.ir import Agg, Body, Cmp, Not, Pred, RuleError, atoms_vars, parse
+from ..plans.ir import Agg, Arith, Body, Cmp, Not, Pred, Ref, RuleError, atoms_vars, parse
 from ..sources.shared import materialize
 
 #: Exact counting is exponential in the variables of one answer that share proofs.
@@ -169,6 +169,84 @@ def rule_probability(facts: FactSpace, where: Any, select: list[str], resolve: C
     return open_.unionByName(sure.withColumn("p", F.lit(1.0)))
 
 
+#: So many uncertain facts at most are counted out world by world.
+MAX_WORLD_FACTS = 12
+_WORLD = "$world of facts"
+
+
+def world_probability(facts: FactSpace, where: Any, select: list[str]) -> DataFrame:
+    """Probability of each answer of any body, also with negation and aggregates, by all worlds of its uncertain facts.
+
+    Facts with ``_p`` below 1 are independent.  Relations that have some get the number of a world as one
+    more argument, shared by all atoms of the body, so one plan evaluates all worlds side by side; an
+    answer's probability is the sum over the worlds that give it.  More than ``MAX_WORLD_FACTS``
+    uncertain facts in the relations that the body names are refused: nothing is estimated.
+    """
+    body = parse(where)
+    names = sorted(set(_names(body.branches)))
+    chances: list[tuple[str, str, float]] = []
+    for n in names:
+        if {"_asrt", "_p"} <= set(facts[n].columns):
+            rows = facts[n].where("_p < 1").select("_asrt", "_p").distinct().limit(MAX_WORLD_FACTS + 1).collect()
+            chances += [(n, str(r["_asrt"]), float(r["_p"])) for r in rows]
+    chances.sort()
+    if len(chances) > MAX_WORLD_FACTS:
+        raise RuleError(f"the body names more than {MAX_WORLD_FACTS} uncertain facts")
+    count = 1 << len(chances)
+    spark = facts.spark
+    each = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("_world")
+    moved: dict[str, DataFrame] = {}
+    for n in {n for n, _, _ in chances}:
+        bits = F.create_map(*[F.lit(x) for k, (m, asrt, _) in enumerate(chances) if m == n for x in (asrt, k)])
+        rows = facts[n].withColumn("_bit", F.when(F.col("_p") < 1, F.try_element_at(bits, F.col("_asrt").cast("string"))))
+        args = facts.args(n)
+        rows = rows.select(*[F.col(f"`{c}`") for c in args], "_bit", each)
+        moved[n] = rows.where(F.col("_bit").isNull() | (F.getbit(F.col("_world").cast("long"), F.col("_bit")) == 1)).drop("_bit")
+    worlds = spark.range(count).select(F.col("id").cast("int").alias("_world"))
+    weight = reduce(lambda a, b: a * b, [F.when(F.getbit(F.col("_world").cast("long"), F.lit(k)) == 1, p).otherwise(1 - p) for k, (_, _, p) in enumerate(chances)], F.lit(1.0))
+    space = facts.with_relations({**moved, _WORLD: worlds})
+    branches = tuple((Pred(_WORLD, (_WORLD,)), *(_in_world(a, set(moved)) for a in b)) for b in body.branches)
+    rows = evaluate(space, Body(branches), [*select, _WORLD])
+    keys = [column_of(v) for v in select]
+    weighed = rows.withColumnRenamed(column_of(_WORLD), "_world").withColumn("_weight", weight)
+    return weighed.groupBy(*keys).agg(F.sum("_weight").alias("p"))
+
+
+def _names(branches: Any):
+    for atom in (a for b in branches for a in b):
+        if isinstance(atom, Pred):
+            yield atom.name
+        elif isinstance(atom, Not):
+            yield from _names(atom.branches)
+        elif isinstance(atom, Ref):
+            raise RuleError("worlds take no references to rules")
+        for t in _operands(atom):
+            if isinstance(t, Agg):
+                yield from _names((t.where,))
+
+
+def _operands(atom: Any) -> tuple:
+    return (atom.left, atom.right) if isinstance(atom, Cmp) else atom.args if isinstance(atom, Arith) else ()
+
+
+def _in_world(atom: Any, moved: set[str]) -> Any:
+    """The atom with the world as one more argument of relations that differ between worlds."""
+
+    def term(t: Any) -> Any:
+        return Agg(t.kind, t.target, tuple(_in_world(a, moved) for a in t.where)) if isinstance(t, Agg) else t
+
+    match atom:
+        case Pred(name, terms) if name in moved:
+            return Pred(name, (*terms, _WORLD))
+        case Not(branches):
+            return Not(tuple(tuple(_in_world(a, moved) for a in b) for b in branches))
+        case Cmp(op, left, right):
+            return Cmp(op, term(left), term(right))
+        case Arith(op, out, args):
+            return Arith(op, out, tuple(map(term, args)))
+    return atom
+
+
 def weighted_choice(arms: DataFrame, keys: Sequence[str], weights: Sequence[str]) -> DataFrame:
     """Probability of each answer of a choice between arms (keys, ``arm``): the weights of its distinct arms.
 

@@ -161,6 +161,21 @@ def meta_history(ledger: Ledger, asrt_id: str | None = None, key: str | None = N
     return rows.orderBy("tx_seq", "op_ordinal")
 
 
+def export_meta_history(ledger: Ledger, path: str) -> None:
+    """All metadata events as JSON lines."""
+    ledger.claim_meta.write.json(path, ignoreNullFields=False)
+
+
+def import_meta_history(ledger: Ledger, path: str) -> Ledger:
+    """The ledger with the events of a file that it does not hold yet; events of unknown assertions are an error."""
+    events = ledger.claims.sparkSession.read.schema(CLAIM_META).json(path)
+    known = ledger.claims.select("asrt_id").union(ledger.revocations.select("revoker_asrt_id"))
+    if lost := events.join(known, "asrt_id", "left_anti").select("asrt_id").limit(1).collect():
+        raise RuleError(f"unknown assertion: {lost[0][0]}")
+    on = [events[c].eqNullSafe(ledger.claim_meta[c]) for c in ("asrt_id", "key", "kind", "value", "tx_seq", "op_ordinal")]
+    return replace(ledger, claim_meta=ledger.claim_meta.unionByName(events.join(ledger.claim_meta, on, "left_anti").distinct()))
+
+
 def valid_at(rows: DataFrame, t: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
     """Rows valid at an ISO text: from ``start`` up to before ``end``.  Texts compare as texts; no start, no match."""
     return rows.where((F.col(start) <= t) & (F.col(end).isNull() | (F.col(end) > t)))

@@ -139,6 +139,9 @@ class Compiler:
     resolve: Callable[[str, str], DataFrame] | None = None
     witness: bool = False
     _names: count = field(default_factory=count)
+    #: Atoms of the branch after the one at hand, and aggregates that were computed with an earlier one.
+    _ahead: tuple[Atom, ...] = ()
+    _ready: list[tuple[Agg, tuple[Any, ...]]] = field(default_factory=list)
 
     def fresh(self, what: str) -> str:
         return f"_{what}{next(self._names)}"
@@ -152,7 +155,10 @@ class Compiler:
     def run(self, atoms: tuple[Atom, ...], env: Env | None = None, case: int = 0) -> Env:
         env = env or Env(None, {})
         for place, atom in enumerate(atoms):
+            self._ahead = atoms[place + 1 :]
             env = self.step(atom, env, case, place)
+        self._ahead = ()
+        self._ready.clear()
         return env
 
     def step(self, atom: Atom, env: Env, case: int, place: int) -> Env:
@@ -307,45 +313,77 @@ class Compiler:
         return Env(self.frame(env).select(*[_c(column_of(v)) for v in outer]).distinct(), {v: env.vars[v] for v in outer}, frozenset(outer))
 
     def aggregate(self, agg: Agg, env: Env) -> tuple[Env, Column, T.DataType, None]:
+        """The value of an aggregate per solution; aggregates over the same atoms share one grouping and one join."""
+        outer = self._outer(agg, env)
+        known = next((got for a, got in self._ready if a == agg), None)
+        if known is None:
+            env, made = self._group([agg, *self._alike(agg, outer, env)], outer, env)
+            known, *later = made
+            self._ready += [(a, got) for a, got in zip(self._alike(agg, outer, env), later, strict=True)]
+        name, n, kind, valid = known
+        df = self.frame(env)
+        if agg.kind not in ("count", "sum"):
+            return env.with_df(df.where(F.col(name).isNotNull())), F.col(name), kind, None
+        if not valid:  # a sum of what is no number has a value over nothing only
+            df = df.where(F.coalesce(F.col(n), F.lit(0)) == 0)
+        return env.with_df(df.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast(kind)))), F.col(name), kind, None
+
+    @staticmethod
+    def _outer(agg: Agg, env: Env) -> list[str]:
         mentioned = atoms_vars(agg.where) | ({agg.target} if is_var(agg.target) else set())
-        outer = sorted(mentioned & set(env.vars))
+        return sorted(mentioned & set(env.vars))
+
+    def _alike(self, agg: Agg, outer: list[str], env: Env) -> list[Agg]:
+        """Later aggregates of the branch over the same atoms, which no atom in between gives more variables."""
+        found = []
+        bound = set(env.vars)
+        for atom in self._ahead:
+            terms = (atom.left, atom.right) if isinstance(atom, Cmp) else atom.args if isinstance(atom, Arith) else ()
+            for t in terms:
+                if isinstance(t, Agg) and t.where == agg.where and t != agg and t not in found and sorted((atoms_vars(t.where) | ({t.target} if is_var(t.target) else set())) & bound) == outer:
+                    found.append(t)
+            outside = (*terms, atom.out) if isinstance(atom, Arith) else terms or getattr(atom, "terms", ())
+            bound |= {t for t in outside if is_var(t)}
+        return found
+
+    def _group(self, aggs: list[Agg], outer: list[str], env: Env) -> tuple[Env, list[tuple[Any, ...]]]:
+        """One grouping with all these, joined: (column, column of the number of rows, type, whether values are valid) of each."""
         inner = self._inner()
-        alone = self._alone(agg.where, set(outer))
-        got = inner.run(agg.where, Env(None, {}) if alone else self._keys(env, outer))
-        name, n = self.fresh("a"), self.fresh("n")
+        alone = self._alone(aggs[0].where, set(outer))
+        got = inner.run(aggs[0].where, Env(None, {}) if alone else self._keys(env, outer))
         df = inner.frame(got)
-        kind: T.DataType = T.LongType()
-        valid = True
-        if agg.kind == "count":
-            value = F.count("*")
-        else:
-            _, col, t, literal = inner.term(got, agg.target)
-            what = family(t) if t is not None else literal_family(literal)
-            if agg.kind in ("sum", "mean"):
-                valid = what == "number"
-                total = (F.sum(col) if agg.kind == "sum" else F.avg(col)) if valid else F.lit(None).cast("long")
-                floating = t is not None and isinstance(t, (T.FractionalType,)) or isinstance(literal, float)
-                kind = T.DoubleType() if agg.kind == "mean" or floating else T.LongType()
-                value = F.max(total) if not valid else total.cast(kind)
+        n = self.fresh("n")
+        values, made = [], []
+        for agg in aggs:
+            kind: T.DataType = T.LongType()
+            valid = True
+            if agg.kind == "count":
+                value = F.count("*")
             else:
-                value = F.min(col) if agg.kind == "min" else F.max(col)
-                kind = t if t is not None else df.select(col.alias("x")).schema["x"].dataType
+                _, col, t, literal = inner.term(got, agg.target)
+                what = family(t) if t is not None else literal_family(literal)
+                if agg.kind in ("sum", "mean"):
+                    valid = what == "number"
+                    total = (F.sum(col) if agg.kind == "sum" else F.avg(col)) if valid else F.lit(None).cast("long")
+                    floating = t is not None and isinstance(t, (T.FractionalType,)) or isinstance(literal, float)
+                    kind = T.DoubleType() if agg.kind == "mean" or floating else T.LongType()
+                    value = F.max(total) if not valid else total.cast(kind)
+                else:
+                    value = F.min(col) if agg.kind == "min" else F.max(col)
+                    kind = t if t is not None else df.select(col.alias("x")).schema["x"].dataType
+            name = self.fresh("a")
+            values.append(value.alias(name))
+            made.append((name, n, kind, valid))
         tag = {v: self.fresh("k") for v in outer}
-        grouped = df.groupBy(*[_c(column_of(v)).alias(tag[v]) for v in outer]).agg(value.alias(name), F.count("*").alias(n))
-        zero = agg.kind in ("count", "sum")  # these have a value over nothing
-        on = [_c(column_of(v)) == F.col(tag[v]) for v in outer]
+        grouped = df.groupBy(*[_c(column_of(v)).alias(tag[v]) for v in outer]).agg(*values, F.count("*").alias(n))
         base = self.frame(env)
         if outer:
-            out = base.join(grouped, reduce(Column.__and__, on), "left" if zero else "inner")
+            # all that need a row have one where any has
+            how = "left" if any(a.kind in ("count", "sum") for a in aggs) else "inner"
+            out = base.join(grouped, reduce(Column.__and__, [_c(column_of(v)) == F.col(tag[v]) for v in outer]), how)
         else:
             out = base.crossJoin(F.broadcast(grouped))  # one row
-        if zero and not valid:
-            out = out.where(F.coalesce(F.col(n), F.lit(0)) == 0)
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast(kind)) if zero else F.col(name))
-        if not zero:
-            out = out.where(F.col(name).isNotNull())
-        out = out.drop(n, *tag.values())
-        return env.with_df(out), F.col(name), kind, None
+        return env.with_df(out.drop(*tag.values())), made
 
     def negate(self, atom: Not, env: Env) -> Env:
         for branch in atom.branches:

@@ -6,15 +6,18 @@ Everything here rewrites rules on the driver; what comes out is one body for
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import product
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.encoding import entity_ref_column
 from .compile import FactSpace, column_of, evaluate
 from .ir import MAX_BRANCHES, Agg, Atom, Body, Cmp, Not, Pred, Ref, RuleError, atoms_vars, is_var, parse, predicates, rename
 
@@ -128,6 +131,19 @@ class Rule:
     def as_(self, alias: str) -> Occurrence:
         return Occurrence(self, alias)
 
+    def projection(self, *names: str, alias: str | None = None) -> dict[str, Endpoint]:
+        """Some ports (all if none is named) as a head for :func:`evaluate_expr`, each under its own name."""
+        own = self.as_(alias or self.rule_id)
+        return {n: own.port(n) for n in names or [n for n, _ in self.ports]}
+
+    def digest(self) -> str:
+        """Equal for rules with the same id, version, body and ports."""
+        said = json.dumps([self.rule_id, self.version, repr(self.when.branches), [[n, p.var, p.kind] for n, p in self.ports]], ensure_ascii=False)
+        return "sha256:" + hashlib.sha256(said.encode()).hexdigest()
+
+    def __repr__(self) -> str:
+        return f"Rule({self.rule_id}@{self.version}: {', '.join(f'{n} {p.kind}' for n, p in self.ports)})"
+
     def __and__(self, other: Any) -> Group:
         return all_of(self, other)
 
@@ -551,16 +567,38 @@ def match(facts: FactSpace, entity: str, where: Any, ports: Mapping[str, Any], l
     return out.orderBy(column_of(entity)).limit(limit) if limit is not None else out
 
 
-def inference(facts: FactSpace, where: Any, heads: Mapping[str, Sequence[Any]], rule_id: str, version: str = "1", registry: RuleRegistry | None = None) -> DataFrame:
-    """Candidates for several heads: (target, args, candidate_key), one row per new fact.
+@dataclass(frozen=True)
+class EntityHead:
+    """A head that derives an entity: its identity fields as (name, tag, term)."""
+
+    entity: str
+    identity: tuple[tuple[str, str, Any], ...]
+
+
+def inference(facts: FactSpace, where: Any, heads: Mapping[str, Sequence[Any] | EntityHead], rule_id: str, version: str = "1", registry: RuleRegistry | None = None) -> DataFrame:
+    """Candidates for several heads: (target, args, candidate_key), one row per new fact, in order of their keys.
 
-    The key hashes the rule, the target and the arguments, so equal candidates of a rule are one.
+    The key hashes the rule, the target and the arguments, so equal candidates of a rule are one.  A fact
+    head has terms, of which one may be an :class:`EntityHead`: the reference of that entity.  A head that is
+    an entity head itself derives the entity: its reference and its identity.  Rows with a
+    null or otherwise impossible identity give no candidate.
     """
     parts = []
     base = evaluate(facts, where, resolve=registry.resolver(facts) if registry else None)
     for target, terms in heads.items():
-        args = F.array(*[F.to_json(F.struct((F.col(f"`{column_of(t)}`") if is_var(t) else F.lit(t)).alias("v"))) for t in terms])
-        key = F.sha2(F.encode(F.concat_ws("\x00", F.lit("candidate"), F.lit(rule_id), F.lit(version), F.lit(target), args), "UTF-8"), 256)
-        parts.append(base.select(F.lit(target).alias("target"), args.alias("args"), key.alias("candidate_key")))
-    return reduce(DataFrame.union, parts).dropDuplicates(["candidate_key"])
+        if isinstance(terms, EntityHead):
+            terms = [terms, *[t for _, _, t in terms.identity]]
+        rows = base.select(F.lit(target).alias("target"), F.array(*[F.to_json(F.struct(_head_term(t).alias("v"))) for t in terms]).alias("args"))
+        for k, t in enumerate(terms):
+            if isinstance(t, EntityHead):
+                rows = rows.where(F.get("args", F.lit(k)) != "{}")
+        key = F.sha2(F.encode(F.concat_ws("\x00", F.lit("candidate"), F.lit(rule_id), F.lit(version), F.lit(target), "args"), "UTF-8"), 256)
+        parts.append(rows.withColumn("candidate_key", key))
+    return reduce(DataFrame.union, parts).dropDuplicates(["candidate_key"]).orderBy("candidate_key")
+
+
+def _head_term(term: Any) -> Column:
+    if isinstance(term, EntityHead):
+        return entity_ref_column(term.entity, [(n, t) for n, t, _ in term.identity], *[_head_term(v) for _, _, v in term.identity])
+    return F.col(f"`{column_of(term)}`") if is_var(term) else F.lit(term)
 

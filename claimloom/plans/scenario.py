@@ -212,6 +212,7 @@ def overlay(facts: FactSpace, changes: Sequence[RemoveFact | ReplaceFact]) -> Fa
     if len({(c.predicate, c.fact) for c in changes}) != len(changes):
         raise RuleError("a fact is changed twice")
     patched: dict[str, DataFrame] = {}
+    sought: dict[str, list[tuple[RemoveFact | ReplaceFact, Column]]] = {}
     for c in changes:
         args = facts.args(c.predicate)
         if len(c.fact) != len(args):
@@ -220,14 +221,18 @@ def overlay(facts: FactSpace, changes: Sequence[RemoveFact | ReplaceFact]) -> Fa
             raise RuleError("a replaced fact keeps its key")
         rel = patched.get(c.predicate, facts[c.predicate])
         same = reduce(Column.__and__, [F.col(f"`{a}`").eqNullSafe(F.lit(v)) for a, v in zip(args, c.fact, strict=True)])
-        if facts[c.predicate].where(same).isEmpty():
-            raise RuleError(f"{c.predicate}{c.fact} is not visible")
+        sought.setdefault(c.predicate, []).append((c, same))
         if isinstance(c, ReplaceFact):
             last = args[-1]
             rel = rel.withColumn(last, F.when(same, F.lit(c.new[-1])).otherwise(F.col(f"`{last}`")).cast(rel.schema[last].dataType))
         else:
             rel = rel.where(~same)
         patched[c.predicate] = rel
+    for name, asked in sought.items():  # one pass over a predicate says which of its facts are there
+        seen = facts[name].where(reduce(Column.__or__, [s for _, s in asked])).agg(*[F.max(s).alias(f"c{k}") for k, (_, s) in enumerate(asked)]).first()
+        for k, (c, _) in enumerate(asked):
+            if not seen[k]:
+                raise RuleError(f"{c.predicate}{c.fact} is not visible")
     return facts.with_relations(patched)
 
 

@@ -21,7 +21,14 @@ KINDS = {
     "mappings": "pred_id string, key string, value string, asrt_id string, reason string",
     "evidence": "candidate_id string, condition int, predicate string, asrt_id string",
     "rounds": "round_id string, event long, kind string, payload string",
+    "traces": "rule_run_id string, run_id string, rule_id string, version string, rows long, parent string",
+    "changes": "change_id string, sequence long, action string, target string, status string, at long",
+    "annotations": "asrt_id string, namespace string, category string, key string, kind string, value string, origin string, derivation string",
+    "meta_history": "asrt_id string, key string, kind string, value string, tx_seq long, op_ordinal int",
 }
+#: The record kinds that hold one row per run, and those of a candidate.
+OF_RUN = ("candidates", "writes", "failures", "traces")
+OF_CANDIDATE = ("writes", "decisions", "failures", "evidence")
 
 
 def export(spark: SparkSession, path: str, records: Mapping[str, DataFrame], schema_digest: str) -> dict:
@@ -92,6 +99,142 @@ class Package:
     def failure_codes(self) -> DataFrame:
         return self["failures"].groupBy("code").agg(F.count("*").alias("n"))
 
+    # one record, or None
+
+    def _one(self, kind: str, **equal) -> dict | None:
+        found = self.select(kind, **equal).limit(2).collect()
+        if len(found) > 1:
+            raise RuleError(f"several {kind} with {equal}")
+        return found[0].asDict() if found else None
+
+    def run(self, run_id: str) -> dict | None:
+        return self._one("runs", run_id=run_id)
+
+    def candidate(self, candidate_id: str) -> dict | None:
+        return self._one("candidates", candidate_id=candidate_id)
+
+    def trace_of(self, rule_run_id: str) -> dict | None:
+        return self._one("traces", rule_run_id=rule_run_id)
+
+    def decision(self, candidate_id: str) -> dict | None:
+        """The last decision on a candidate."""
+        found = self.select("decisions", candidate_id=candidate_id).orderBy(F.desc("decided_at")).limit(1).collect()
+        return found[0].asDict() if found else None
+
+    def bundle(self, run_id: str) -> dict[str, DataFrame]:
+        """All records of a run: its own, and those of its candidates."""
+        own = self.select("candidates", run_id=run_id).select("candidate_id")
+        out = {k: self.select(k, run_id=run_id) for k in ("runs", *OF_RUN)}
+        for k in ("decisions", "evidence"):
+            out[k] = self[k].join(own, "candidate_id", "left_semi")
+        return out
+
+    # candidates
+
+    def with_evidence(self, has: bool = True) -> DataFrame:
+        """Candidates that have evidence, or that have none."""
+        return self["candidates"].join(self["evidence"].select("candidate_id"), "candidate_id", "left_semi" if has else "left_anti")
+
+    def status(self) -> DataFrame:
+        """(candidate_id, evidence, decision, written): how many conditions are shown, the last decision, and whether it was written."""
+        shown = self["evidence"].groupBy("candidate_id").agg(F.count("*").alias("evidence"))
+        last = self["decisions"].groupBy("candidate_id").agg(F.max_by("decision", "decided_at").alias("decision"))
+        wrote = self["writes"].select("candidate_id").distinct().withColumn("_w", F.lit(True))
+        out = self["candidates"].select("candidate_id").join(shown, "candidate_id", "left").join(last, "candidate_id", "left").join(wrote, "candidate_id", "left")
+        return out.select("candidate_id", F.coalesce("evidence", F.lit(0)).alias("evidence"), "decision", F.coalesce("_w", F.lit(False)).alias("written"))
+
+    def tree(self, candidate_id: str) -> dict | None:
+        """A candidate with its evidence by condition; a candidate has few, so it is read to the driver."""
+        own = self.candidate(candidate_id)
+        if own is None:
+            return None
+        rows = self.trace(candidate_id).collect()
+        return {**own, "conditions": [{"condition": k, "uses": sorted((r["predicate"], r["asrt_id"] or "") for r in rows if r["condition"] == k)} for k in sorted({r["condition"] for r in rows})]}
+
+    def tell(self, candidate_id: str) -> str | None:
+        """The tree as lines."""
+        tree = self.tree(candidate_id)
+        if tree is None:
+            return None
+        lines = [f"{tree['target']} ({tree['candidate_key']}), confidence {tree['confidence']}"]
+        lines += [f"  condition {c['condition']}: " + ", ".join(f"{p} {a}".strip() for p, a in c["uses"]) for c in tree["conditions"]]
+        return "\n".join(lines)
+
+    def timeline_summary(self, candidate_id: str) -> dict:
+        """First and last time of a candidate's events, and how many there are of each kind."""
+        rows = self.timeline(candidate_id).groupBy("event").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last")).collect()
+        return {"first": min((r["first"] for r in rows), default=None), "last": max((r["last"] for r in rows), default=None), "events": {r["event"]: r["n"] for r in rows}}
+
+    def confidence(self) -> DataFrame:
+        """(target, candidates, lowest, mean, highest) of candidates' confidence."""
+        c = F.col("confidence")
+        return self["candidates"].groupBy("target").agg(F.count("*").alias("candidates"), F.min(c).alias("lowest"), F.avg(c).alias("mean"), F.max(c).alias("highest"))
+
+    # mappings, rules, rounds, changes, annotations
+
+    def mapping(self, pred_id: str | None = None) -> DataFrame:
+        return self["mappings"] if pred_id is None else self.select("mappings", pred_id=pred_id)
+
+    def rule_summary(self) -> DataFrame:
+        """(rule_id, version, runs, rows) of traces."""
+        return self["traces"].groupBy("rule_id", "version").agg(F.count("*").alias("runs"), F.sum("rows").alias("rows"))
+
+    def tell_rule(self, run_id: str) -> str:
+        """A run's rules as lines, each under the one that refers to it; one that is its own ancestor is shown once."""
+        rows = sorted((r.asDict() for r in self.select("traces", run_id=run_id).collect()), key=lambda r: r["rule_run_id"])
+        lines: list[str] = []
+
+        def show(parent: str | None, depth: int) -> None:
+            for r in rows:
+                if r["parent"] == parent and not r.get("shown"):
+                    r["shown"] = True
+                    lines.append(f"{'  ' * depth}{r['rule_id']}@{r['version']}: {r['rows']} rows")
+                    show(r["rule_run_id"], depth + 1)
+
+        show(None, 0)
+        return "\n".join(lines)
+
+    def rounds(self) -> list[str]:
+        return sorted(r[0] for r in self["rounds"].select("round_id").distinct().collect())
+
+    def round_events(self, round_id: str, kind: str | None = None) -> DataFrame:
+        rows = self.select("rounds", round_id=round_id)
+        return (rows if kind is None else rows.where(F.col("kind") == kind)).orderBy("event")
+
+    def round_event(self, round_id: str, event: int) -> dict | None:
+        return self._one("rounds", round_id=round_id, event=event)
+
+    def round_summary(self) -> DataFrame:
+        """(round_id, events, first, last, kinds)."""
+        return self["rounds"].groupBy("round_id").agg(F.count("*").alias("events"), F.min("event").alias("first"), F.max("event").alias("last"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+
+    def round_warnings(self) -> DataFrame:
+        """(round_id, missing, repeated): rounds whose event numbers have gaps or repeats."""
+        own = self["rounds"].groupBy("round_id").agg(F.count("*").alias("n"), F.count_distinct("event").alias("d"), (F.max("event") - F.min("event") + 1).alias("span"))
+        return own.where("n <> span OR d <> n").select("round_id", (F.col("span") - F.col("d")).alias("missing"), (F.col("n") - F.col("d")).alias("repeated"))
+
+    def changes(self, change_id: str | None = None, status: str | None = None) -> DataFrame:
+        """Changes of rules and schemas, in order."""
+        rows = self["changes"]
+        for name, value in (("change_id", change_id), ("status", status)):
+            if value is not None:
+                rows = rows.where(F.col(name) == value)
+        return rows.orderBy("change_id", "sequence")
+
+    def change_runs(self) -> DataFrame:
+        """(change_id, steps, last_status, began, ended) of each change."""
+        return self["changes"].groupBy("change_id").agg(F.count("*").alias("steps"), F.max_by("status", "sequence").alias("last_status"), F.min("at").alias("began"), F.max("at").alias("ended"))
+
+    def annotations(self, asrt_id: str) -> DataFrame:
+        return self.select("annotations", asrt_id=asrt_id)
+
+    def meta_at(self, tx_seq: int, op_ordinal: int) -> DataFrame:
+        """(asrt_id, key, kind, value) in force at a boundary, from the history in the package alone."""
+        at = F.struct("tx_seq", "op_ordinal")
+        limit = F.struct(F.lit(tx_seq).cast("long").alias("tx_seq"), F.lit(op_ordinal).alias("op_ordinal"))
+        last = self["meta_history"].where(at <= limit).groupBy("asrt_id", "key").agg(F.max_by(F.struct("kind", "value"), at).alias("m"))
+        return last.where("m.kind IS NOT NULL").select("asrt_id", "key", "m.kind", "m.value")
+
     def diff(self, other: Package, kind: str, key: str) -> DataFrame:
         """(key, change) between two packages' records: added, removed or changed."""
         a = self[kind].select(F.col(key), F.xxhash64(*self[kind].columns).alias("_a"))
