@@ -405,12 +405,45 @@ def compile_policy(policy: Any) -> list[tuple[list[Occurrence], list[Join], list
     return found
 
 
+#: Kinds of ports that have an order, and those of other values; any other kind names an entity.
+ORDERED = ("int", "float64", "time")
+UNORDERED = ("string", "bool", "bytes", "uuid")
+
+
+def _check_operands(c: Compare) -> None:
+    """An entity's port is compared with its like or with the text of a reference."""
+
+    def says(side: Any) -> str | None:
+        if isinstance(side, Endpoint):
+            return None if side.kind == "any" else side.kind
+        if isinstance(side, Literal):
+            return "bool" if isinstance(side.value, bool) else "a number" if isinstance(side.value, (int, float)) else "a text"
+        return None
+
+    left, right = says(c.left), says(c.right)
+    for kind in (left, right):
+        if c.op not in ("eq", "ne") and kind is not None and kind not in (*ORDERED, "a number"):
+            raise RuleError(f"{kind} has no order")
+    if left is None or right is None or left == right:
+        return
+    pair = {left, right}
+    numbers = "a number" in pair and any(k in ORDERED for k in pair)
+    texts = "a text" in pair and not any(k in (*ORDERED, "bool", "a number") for k in pair)
+    if not numbers and not texts:
+        raise RuleError(f"{left} and {right} are never equal")
+
+
 def evaluate_policy(facts: FactSpace, policy: Any, select: Mapping[str, Endpoint | Nav], bind: Mapping[Endpoint, Any] | None = None, registry: RuleRegistry | None = None) -> DataFrame:
-    """Rows of ``select`` that the policy allows; ``bind`` fixes endpoints to values."""
+    """Rows of ``select`` that the policy allows; ``bind`` fixes endpoints to values.
+
+    Where ports say their kinds, both sides of a comparison have one kind, and only numbers and times are ordered.
+    """
     parts = []
     for occs, joins, comparisons in compile_policy(policy):
         if not occs:
             raise RuleError("a branch of the policy has no rule")
+        for c in comparisons:
+            _check_operands(c)
         wanted = [*select.values(), *(s for c in comparisons for s in (c.left, c.right))]
         fresh: dict[Nav, str] = {n: f"$nav{k}" for k, n in enumerate(dict.fromkeys(n for n in wanted if isinstance(n, Nav)))}
 
