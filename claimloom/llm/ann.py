@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hot_keys, map_arrow, materialize, salted_join
+from .common import Scratch, hot_keys, map_arrow, materialize, salted_join
 from .hnsw import BEAM, Graph
 
 #: A shard has about so many classes at most; small inputs have the least number of cells.
@@ -136,15 +136,15 @@ def build_index(placed: DataFrame, kind: str, dim: int) -> DataFrame:
 class Index:
     """The graphs by shard, and how queries get to them."""
 
-    def __init__(self, classes: DataFrame, n: int, kind: str, dim: int) -> None:
-        self.spark, self.kind, self.dim = classes.sparkSession, kind, dim
+    def __init__(self, classes: DataFrame, n: int, kind: str, dim: int, work: Scratch) -> None:
+        self.spark, self.kind, self.dim, self.work = classes.sparkSession, kind, dim, work
         cells = max(1, min(max(LEAST_CELLS, -(-n // SHARD_ROWS)), FIT_BYTES // (64 * dim), n))
         rows = min(FIT_BYTES // (4 * dim), max(4096, 64 * cells))
         share = min(1 << 30, rows * (1 << 30) // n)
         sample = classes.where(F.pmod(F.xxhash64("rep", F.lit("fit")), F.lit(1 << 30)) < share).select("rep", "vector").collect()
         sample = sample or classes.select("rep", "vector").orderBy("rep").limit(1).collect()
         self.cells = Cells.fit(matrix([r["vector"] for r in sorted(sample)], kind, dim), cells)
-        placed = materialize(self._placed(classes), "ann-placed")
+        placed = work.keep(self._placed(classes), "ann-placed")
         # a row per cell, so bounded as the centres are
         counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
         at, table = 0, []
@@ -156,7 +156,7 @@ class Index:
         dealt = placed.join(F.broadcast(self.parts), "cell")
         dealt = dealt.withColumn("shard", (F.col("shard0") + F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int"))
         self.placed = placed
-        self.graphs = materialize(build_index(dealt, kind, dim), "ann-index")
+        self.graphs = work.keep(build_index(dealt, kind, dim), "ann-index")
         self.n_cells, self.beam, self.recall = cells, BEAM, None
 
     def _placed(self, classes: DataFrame) -> DataFrame:
@@ -221,11 +221,11 @@ class Index:
                     cells = pa.ListArray.from_arrays(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32), pa.array(own.ravel()))
                     yield pa.RecordBatch.from_arrays([*batch.columns, cells], ["query", "vector", "cells"])
 
-        routed = materialize(map_arrow(queries.select("query", "vector"), route, "query long, vector binary, cells array<int>"), "ann-routed")
+        routed = self.work.keep(map_arrow(queries.select("query", "vector"), route, "query long, vector binary, cells array<int>"), "ann-routed")
         # a row per cell; a graph is repeated only where more than QUERY_ROWS queries ask for it
         asked = routed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
         shards = self.parts.join(asked, "cell").select("cell", "blocks", F.explode(F.sequence(F.col("shard0"), F.col("shard0") + F.col("parts") - 1)).alias("shard"))
-        shards = materialize(shards, "ann-asked-shards")
+        shards = self.work.keep(shards, "ann-asked-shards")
         dealt = routed.select("query", "vector", F.explode("cells").alias("cell")).join(F.broadcast(shards), "cell")
         dealt = dealt.select("query", "vector", "shard", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int").alias("block"))
         graphs = self.graphs.join(F.broadcast(shards.select("shard", "blocks")), "shard")
@@ -263,8 +263,9 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_
     if not most or not most["d"]:
         return spark.createDataFrame([], NEAREST)
     kind, dim = "<f8" if dict(rows.dtypes)[vec_col] == "array<double>" else "<f4", most["d"]
-    keyed = materialize(vector_keys(rows, id_col, vec_col, dim), "ann-vectors")
-    classes = materialize(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector")), "ann-classes")
+    work = Scratch(spark)
+    keyed = work.keep(vector_keys(rows, id_col, vec_col, dim), "ann-vectors")
+    classes = work.keep(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector")), "ann-classes")
     n_classes = classes.count()
     if not n_classes:
         return spark.createDataFrame([], NEAREST)
@@ -274,8 +275,8 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_
     asked = materialize(keyed.where(is_query(F.col("id"))).select("key", "id"), "ann-asked")
     per_key = materialize(asked.groupBy("key").agg(F.count("*").alias("n_asked")), "ann-asked-keys")
     total = asked.count()
-    index = Index(classes, n_classes, kind, dim)
-    queries = materialize(classes.join(per_key, "key").select(F.col("rep").alias("query"), "key", "vector"), "ann-queries")
+    index = Index(classes, n_classes, kind, dim, work)
+    queries = work.keep(classes.join(per_key, "key").select(F.col("rep").alias("query"), "key", "vector"), "ann-queries")
     index.calibrate(queries, k + 1)
     hits = index.search(queries, k + 1)
     # a class stands for its smallest ids, all with its score
@@ -283,6 +284,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_
     hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
     lists = hits.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
     lists = materialize(lists.join(queries.select("query", "key"), "query").select("key", "near"), "ann-lists")
+    work.drop()
     out = salted_join(asked, lists, "key", hot_keys(per_key, "key", "n_asked", total), F.xxhash64("id"))
     own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("id")), 1, k)
     out = out.select(F.col("id").alias("query_id"), F.posexplode(own).alias("p", "x"))

@@ -23,7 +23,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import Scratch, ascii_lower, materialize
 
 Rule = tuple[str, str, str]
 #: Separates host and path in a key; neither can hold it, as a host ends at "/".
@@ -140,14 +140,14 @@ class Cascade:
 RULES_SCHEMA = "verdict string, host string, path string"
 
 
-def _checked(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+def _checked(spark: SparkSession, rules: Sequence[Rule] | DataFrame, work: Scratch) -> DataFrame:
     """(key, verdict), each key once; ValueError for rules that cannot be."""
     table = rules.select("verdict", "host", "path") if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), RULES_SCHEMA)
     bad = table.where(~F.coalesce(F.col("path").startswith(SEP) & ~F.col("host").contains(SEP) & F.col("verdict").isNotNull(), F.lit(False)))
     if bad.limit(1).collect():
         raise ValueError("a rule has a verdict, its path begins with /, and its host has none")
     keyed = table.groupBy(F.concat("host", "path").alias("key")).agg(F.min("verdict").alias("verdict"), F.max("verdict").alias("_other"), F.max(F.length("path")).alias("_length"))
-    keyed = materialize(keyed, "url-rules")
+    keyed = work.keep(keyed, "url-rules")
     if both := [r["key"] for r in keyed.where("verdict <> _other").orderBy("key").limit(5).collect()]:
         raise ValueError(f"rules with two verdicts: {both}")
     return keyed.drop("_other")
@@ -166,7 +166,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url",
     """
     spark = pages.sparkSession
     out = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
-    listed = _checked(spark, rules)
+    work = Scratch(spark)
+    listed = _checked(spark, rules, work)
     # a row per length that a rule's path has, and per verdict
     lengths = sorted(r[0] for r in listed.select("_length").distinct().collect())
     verdicts = sorted(r[0] for r in listed.select("verdict").distinct().collect())
@@ -175,14 +176,17 @@ def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url",
     keys = candidate_keys(F.col("host"), F.col("path"), lengths)
     seen = out.select(F.explode(keys).alias("key"), F.lit(None).cast("string").alias("verdict"))
     universe = seen.union(listed.select("key", "verdict")).groupBy("key").agg(F.max("verdict").alias("verdict"))
-    universe = materialize(universe, "url-universe")
+    universe = work.keep(universe, "url-universe")
     left, cascades = max_bytes, {}
     try:
         for v in verdicts:
             cascades[v] = Cascade.build(universe.withColumn("listed", F.coalesce(F.col("verdict") == v, F.lit(False))), "listed", left)
             left -= cascades[v].size()
     except TooLarge:
-        return _judge_by_join(out, listed.select("key", "verdict"), lengths, default)
+        judged = _judge_by_join(out, listed.select("key", "verdict"), lengths, default, work)
+        work.drop()
+        return judged
+    work.drop()  # the filters are in the plan
 
     def verdict_of(key: Column) -> Column:
         found: Column = F.lit(None).cast("string")
@@ -195,7 +199,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url",
     return out.withColumns({"rule": F.col("_hit.key"), "verdict": F.coalesce("_hit.v", F.lit(default))}).drop("_keys", "_hit")
 
 
-def _judge_by_join(out: DataFrame, listed: DataFrame, lengths: Sequence[int], default: str) -> DataFrame:
+def _judge_by_join(out: DataFrame, listed: DataFrame, lengths: Sequence[int], default: str, work: Scratch) -> DataFrame:
     """The way for lists whose filters would be too large to send.
 
     Each distinct host and path is judged once, so a very common URL is one row of the join.
@@ -204,7 +208,7 @@ def _judge_by_join(out: DataFrame, listed: DataFrame, lengths: Sequence[int], de
     asked = parts.select("host", "path", F.posexplode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("_at", "key"))
     # the distinct keys meet the rules, and come back to the parts that asked for them
     known = asked.select("key").distinct().join(listed, "key")
-    known = materialize(known, "url-known")
+    known = work.keep(known, "url-known")
     found = asked.join(known, "key").groupBy("host", "path").agg(F.min(F.struct("_at", "key", "verdict")).alias("_hit"))
     found = materialize(found, "url-found")
     kept = [c for c in out.columns if c not in ("rule", "verdict")]
