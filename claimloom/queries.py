@@ -197,10 +197,10 @@ def port_join(spark, sf):
 @query("""SELECT DISTINCT c_custkey AS who, n_name AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN orders ON o_custkey = c_custkey
 WHERE c_acctbal > 8000 AND o_totalprice > 250000 AND c_nationkey >= 5""")
 def policy_compare_navigate(spark, sf):
-    home = rules.Rule("home", [("pred", "customer:c_nationkey", ["$c", "$n"])], {"who": rules.Port("$c", "customer"), "nation": rules.Port("$n", "nation")})
+    home = rules.Rule("home", [("pred", "customer:c_nationkey", ["$c", "$n"])], {"who": rules.Port("$c", "customer"), "nation": rules.Port("$n", "nation"), "number": rules.Port("$n", "int")})
     rich, _, big = _rules()
     a, o, h = rich.as_("a"), big.as_("o"), home.as_("h")
-    policy = rules.policy_all(a, o, h, rules.Unify(a.who, o.who), rules.Unify(a.who, h.who), rules.Compare("ge", h.nation, rules.Literal(5)))
+    policy = rules.policy_all(a, o, h, rules.Unify(a.who, o.who), rules.Unify(a.who, h.who), rules.Compare("ge", h.number, rules.Literal(5)))
     return rules.evaluate_policy(facts(spark, sf), policy, {"who": a.who, "nation": rules.Nav(h.nation, "nation:n_name")})
 
 
