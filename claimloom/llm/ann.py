@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, hot_keys, map_arrow, materialize, salted_join
 from .hnsw import BEAM, Graph
 
-#: A shard has about so many classes at most; small inputs have the least number of cells.
+#: A shard has about so many classes at most; small inputs have the least number of cells.  A row per cell may be
+#: sent to every task, one per shard may not.
 SHARD_ROWS = 8192
-LEAST_CELLS = 16
+LEAST_CELLS, MOST_CELLS = 16, 16_384
 #: Centres are fitted on the driver on a sample of so many bytes at most, and at least 16 rows a centre.
 FIT_BYTES = 64 << 20
 FIT_ROUNDS = 8
@@ -41,7 +42,7 @@ PROBES = 256
 IN_CELLS, FOUND = 0.99, 0.95
 #: Queries that meet a shard's graph at a time.
 QUERY_ROWS = 4096
-INDEX = "shard int, ids binary, vectors binary, kind string, sizes array<int>, members binary, neighbours binary"
+INDEX = "cell int, shard int, ids binary, vectors binary, kind string, sizes array<int>, members binary, neighbours binary"
 NEAREST = "query_id long, rank int, vec_id long, score double"
 
 
@@ -124,13 +125,13 @@ class Cells:
 
 
 def build_index(placed: DataFrame, kind: str, dim: int) -> DataFrame:
-    """One row of flat arrays per shard from (rep, vector, shard)."""
+    """One row of flat arrays per shard from (rep, vector, cell, shard)."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
-        return pd.DataFrame([{"shard": pdf["shard"].iloc[0], **Graph.build(pdf["rep"].to_numpy(), matrix(pdf["vector"], kind, dim)).to_row()}])
+        return pd.DataFrame([{"cell": pdf["cell"].iloc[0], "shard": pdf["shard"].iloc[0], **Graph.build(pdf["rep"].to_numpy(), matrix(pdf["vector"], kind, dim)).to_row()}])
 
-    return placed.select("rep", "vector", "shard").groupBy("shard").applyInPandas(build, INDEX)
+    return placed.select("rep", "vector", "cell", "shard").groupBy("shard").applyInPandas(build, INDEX)
 
 
 class Index:
@@ -138,7 +139,7 @@ class Index:
 
     def __init__(self, classes: DataFrame, n: int, kind: str, dim: int, work: Scratch) -> None:
         self.spark, self.kind, self.dim, self.work = classes.sparkSession, kind, dim, work
-        cells = max(1, min(max(LEAST_CELLS, -(-n // SHARD_ROWS)), FIT_BYTES // (64 * dim), n))
+        cells = max(1, min(max(LEAST_CELLS, -(-n // SHARD_ROWS)), MOST_CELLS, FIT_BYTES // (64 * dim), n))
         rows = min(FIT_BYTES // (4 * dim), max(4096, 64 * cells))
         share = min(1 << 30, rows * (1 << 30) // n)
         sample = classes.where(F.pmod(F.xxhash64("rep", F.lit("fit")), F.lit(1 << 30)) < share).select("rep", "vector").collect()
@@ -224,12 +225,11 @@ class Index:
         routed = self.work.keep(map_arrow(queries.select("query", "vector"), route, "query long, vector binary, cells array<int>"), "ann-routed")
         # a row per cell; a graph is repeated only where more than QUERY_ROWS queries ask for it
         asked = routed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
-        shards = self.parts.join(asked, "cell").select("cell", "blocks", F.explode(F.sequence(F.col("shard0"), F.col("shard0") + F.col("parts") - 1)).alias("shard"))
-        shards = self.work.keep(shards, "ann-asked-shards")
-        dealt = routed.select("query", "vector", F.explode("cells").alias("cell")).join(F.broadcast(shards), "cell")
-        dealt = dealt.select("query", "vector", "shard", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int").alias("block"))
-        graphs = self.graphs.join(F.broadcast(shards.select("shard", "blocks")), "shard")
-        graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        cells = F.broadcast(self.work.keep(self.parts.join(asked, "cell"), "ann-asked-cells"))
+        dealt = routed.select("query", "vector", F.explode("cells").alias("cell")).join(cells, "cell")
+        dealt = dealt.select("query", "vector", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.col("shard0"), F.col("shard0") + F.col("parts") - 1)).alias("shard"))
+        graphs = self.graphs.join(cells.select("cell", "blocks"), "cell")
+        graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "cell")
 
         def look(graph: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
             if not len(graph) or not len(block):
