@@ -3,7 +3,8 @@
 Atoms are folded in written order over one lazy DataFrame, so the whole body becomes one
 Catalyst plan: predicates are joins on shared variables, comparisons are filters that the
 optimizer pushes to the scans, negation is a left anti join and a correlated aggregate is
-a grouping joined back.  A grouping or negation whose variables its own atoms bind is
+a grouping joined back.  A predicate that shares no variable but has a number between two
+others is joined by cells.  A grouping or negation whose variables its own atoms bind is
 compiled by itself, without first collecting the outer keys, so it costs one shuffle.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import ranges
 from .ir import DECIMAL, ORDERINGS, Agg, Arith, Atom, Body, Cmp, In, Not, Pred, Ref, RuleError, atoms_vars, check, integer, is_var, parse
 
 WITNESS = "_w"
@@ -219,12 +221,30 @@ class Compiler:
         elif shared:
             df = env.df.join(found, reduce(Column.__and__, [_c(column_of(v)) == _c(f"{tag}_{column_of(v)}") for v in shared]))
         else:
-            df = env.df.crossJoin(found)  # the rule itself asks for all combinations
+            near = self._within(env, found, new)
+            df = env.df.crossJoin(found) if near is None else near  # the rule itself asks for all combinations
         df = df.drop(*[f"{tag}_{column_of(v)}" for v in shared])
         if self.witness:
             df = df.withColumn(WITNESS, F.concat(WITNESS, f"{tag}{WITNESS}")).drop(f"{tag}{WITNESS}")
         return env.with_df(df, new)
 
+    def _within(self, env: Env, found: DataFrame, new: Mapping[str, T.DataType]) -> DataFrame | None:
+        """Solutions with the rows found that later comparisons keep, and some more, where those have a
+        number of one side between two of the other; None where they don't.  The comparisons still follow."""
+
+        def number(term: Any) -> bool:
+            return is_var(term) and isinstance(env.vars.get(term) or new.get(term), T.NumericType)
+
+        order = [(a.left, a.right) if a.op in ("lt", "le") else (a.right, a.left) for a in self._ahead if isinstance(a, Cmp) and a.op in ORDERINGS and number(a.left) and number(a.right)]
+        for small, at in order:
+            high = next((big for x, big in order if x == at and (big in new) == (small in new)), None)
+            if high is None or (small in new) == (at in new):
+                continue
+            low, at, high = (column_of(v) for v in (small, at, high))
+            points, spans = (env.df, found) if small in new else (found, env.df)
+            return ranges.by_length(points, spans, at, low, high)
+        return None
+
     # terms
 
     def term(self, env: Env, term: Any) -> tuple[Env, Column, T.DataType | None, Any]:
