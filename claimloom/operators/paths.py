@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.compile import FactSpace
 from ..plans.ir import RuleError
+from ..plans.ranges import pairs_by_cell
 from ..sources.shared import materialize
 
 MAX_STEPS, MAX_ROWS = 32, 100_000
@@ -126,6 +127,7 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
 
     A range is repeated for each cell that it touches, so ``width`` should be about as long as a
     usual range.  Points and ranges with a null, NaN or infinite end, and empty ranges, pair with nothing.
+    However many a cell holds, its pairs are made in blocks (:func:`ranges.pairs_by_cell`).
     Columns of both tables stay and must differ.
     """
     if not width > 0:
@@ -136,4 +138,4 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     cell = lambda c: F.floor(F.col(c).cast("double") / F.lit(float(width)))
     points = points.where(whole(at)).withColumn("_cell", cell(at))
     ranges = ranges.where(whole(low) & whole(high) & (F.col(low) <= F.col(high))).withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
-    return points.join(ranges, "_cell").where((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("_cell")
+    return pairs_by_cell(points, ranges, ["_cell"], at, low).where((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high)))
